@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, langid, licenses, secrets
+from prismframe.llm import chat, langid, licenses, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -46,6 +46,13 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 4) != 2))
+    found = toxicity.score(docs, fitted, ["doc_id"])
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(id_remainder("doc_id", 5) != 0))
