@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, langid, licenses, secrets, toxicity
+from prismframe.llm import chat, langid, licenses, linededup, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -53,6 +53,44 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The lines of a text that an earlier place repeats, for {docs} with doc_id and text; lines are compared as they are, not by hash.
+LINES_SQL = r"""
+lines AS (
+  SELECT doc_id, pos, line, len(list_filter(string_split(translate(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '')) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs} WHERE text IS NOT NULL)
+), counted AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS after, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before FROM lines WHERE words > 0
+), spans AS (
+  SELECT doc_id, pos, before, after,
+    list(line) OVER f AS f_run, max(after) OVER f AS f_after, max(pos) OVER f AS f_end,
+    list(line) OVER b AS b_run, min(before) OVER b AS b_before, min(pos) OVER b AS b_start
+  FROM counted
+  WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+    b AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), runs AS (
+  SELECT doc_id, pos AS s, f_end AS e, f_run AS run FROM spans WHERE f_after - before >= 50
+  UNION ALL SELECT doc_id, b_start, pos, b_run FROM spans WHERE after - b_before >= 50
+), firsts AS (SELECT run, min((doc_id, s)) AS first FROM runs GROUP BY run),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM runs JOIN firsts USING (run) WHERE (doc_id, s) > first
+), cleaned AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g IS NULL), '') AS text, count(*) AS n_lines, count(g) AS n_removed
+  FROM (SELECT l.*, gone.pos AS g FROM lines l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY doc_id
+)"""
+
+OP7_SQL = (
+    "WITH "
+    + LINES_SQL.format(docs="documents")
+    + """
+SELECT d.doc_id, c.text, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(c.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN cleaned c USING (doc_id)"""
+)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(id_remainder("doc_id", 5) != 0))
@@ -65,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op7_line_dedup": OP7_SQL}
