@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,3 +103,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if where is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        where = sc.getCheckpointDir()
+    return where
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+    to = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def word_count(c: Column) -> Column:
+    """The number of whitespace-separated words; of a null text none."""
+    plain = F.trim(F.translate(F.coalesce(c, F.lit("")), "\t\n\r\f\x0b", "     "))
+    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " +"))).cast("long")

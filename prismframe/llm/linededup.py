@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismframe.llm.common import word_count
+
 LEAST_WORDS = 50
 
 
@@ -35,9 +37,7 @@ def lines_of(text: Column) -> Column:
 def line_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, pos, h, words): the lines that are not blank, with their hashes and their numbers of words."""
     rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(*_key(id_col, text), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
-    trimmed = F.trim(F.translate("line", "\t\r\f\x0b", "    "))
-    words = F.size(F.split(trimmed, " +"))
-    return rows.filter(trimmed != "").select("d", "t", "pos", F.xxhash64("line").alias("h"), words.alias("words"))
+    return rows.select("d", "t", "pos", F.xxhash64("line").alias("h"), word_count(F.col("line")).alias("words")).filter("words > 0")
 
 
 def stretches(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

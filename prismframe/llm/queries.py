@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, langid, licenses, linededup, secrets, toxicity
+from prismframe.llm import chat, langid, licenses, linededup, mixing, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -38,6 +38,55 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id"""
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = mixing.mix(table(spark, sf_dir, "documents"))
+    return read.select(F.col("d").alias("doc_id"), "source", F.col("epoch").cast("long").alias("epoch"), "block", "slot", "tokens")
+
+
+#: The mix of {docs}: the exponent is bisected by a recursive query over its steps of 1e-6.
+MIX_SQL = r"""
+tok AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+    len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> ''))::BIGINT AS tokens
+  FROM {docs} WHERE text IS NOT NULL
+), src AS (SELECT source, sum(tokens)::BIGINT AS whole FROM tok WHERE tokens > 0 GROUP BY source),
+tot AS (SELECT sum(whole)::BIGINT AS total, count(*) AS n FROM src),
+search AS (
+  WITH RECURSIVE e(lo, hi) AS (
+    SELECT 0, 1000001
+    UNION ALL
+    SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+      SELECT lo, hi, (lo + hi) // 2 AS mid, (SELECT n = 1 OR round(-sum(p * ln(p)) / ln(max(n)), 12) >= 0.95 FROM (
+        SELECT pow(whole / total, ((lo + hi) // 2) / 1000000) / sum(pow(whole / total, ((lo + hi) // 2) / 1000000)) OVER () AS p, n FROM src, tot) GROUP BY n) AS ok
+      FROM e WHERE hi - lo > 1))
+  SELECT max(lo) AS even FROM e
+), search2 AS (
+  WITH RECURSIVE e(lo, hi) AS (
+    SELECT 0, 1000001
+    UNION ALL
+    SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+      SELECT lo, hi, (lo + hi) // 2 AS mid, (SELECT max(p * total / whole) > 4 + 1e-9 FROM (
+        SELECT pow(whole / total, ((lo + hi) // 2) / 1000000) / sum(pow(whole / total, ((lo + hi) // 2) / 1000000)) OVER () AS p, total, whole FROM src, tot)) AS ok
+      FROM e WHERE hi - lo > 1))
+  SELECT max(lo) + 1 AS least FROM e
+), chosen AS (
+  SELECT least(1000000, greatest(even, CASE WHEN (SELECT max(total / n / whole) > 4 + 1e-9 FROM src, tot) THEN least ELSE 0 END)) / 1000000 AS a FROM search, search2
+), quota AS (
+  SELECT source, whole, floor(round(pow(whole / total, a) / sum(pow(whole / total, a)) OVER (), 12) * total)::BIGINT AS quota, greatest(1, ceil(total / 250000))::BIGINT AS blocks
+  FROM src, tot, chosen
+), copies AS (
+  SELECT t.*, whole, quota, blocks, unnest(range(1, ceil(quota / whole)::BIGINT + 1)) AS epoch FROM tok t JOIN quota USING (source) WHERE tokens > 0
+), keyed AS (
+  SELECT *, ('0x' || substr(md5('7|' || epoch || '|' || doc_id), 1, 15))::BIGINT AS key, ('0x' || substr(md5('7|slot' || epoch || '|' || doc_id), 1, 15))::BIGINT AS slot FROM copies
+), placed AS (
+  SELECT *, (epoch - 1) * whole + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM keyed
+), mixed AS (
+  SELECT doc_id, source, epoch, least(blocks - 1, floor((stop - tokens)::DOUBLE / quota * blocks))::BIGINT AS block, slot, tokens FROM placed WHERE stop <= quota
+)"""
+
+OP3_SQL = "WITH " + MIX_SQL.format(docs="documents") + "\nSELECT * FROM mixed"
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -103,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}
