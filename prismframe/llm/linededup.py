@@ -82,7 +82,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     d, t = _key(id_col, text)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep)).join(gone, d.eqNullSafe(F.col("__d")) & (t == F.col("__t")), "left")
-    lines = lines_of(F.col(f"`{text}`"))
+    # a column of its own: inside a lambda the split would run once for every line
+    rows = rows.withColumn("__lines", lines_of(F.col(f"`{text}`")))
+    lines = F.col("__lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
     counted = {}
