@@ -128,3 +128,8 @@ def word_count(c: Column) -> Column:
     """The number of whitespace-separated words; of a null text none."""
     plain = F.trim(F.translate(F.coalesce(c, F.lit("")), "\t\n\r\f\x0b", "     "))
     return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " +"))).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once. An expression that a lambda uses may else be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import word_count
+from prismframe.llm.common import let, word_count
 
 LEAST_WORDS = 50
 
@@ -36,7 +36,7 @@ def lines_of(text: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, pos, h, words): the lines that are not blank, with their hashes and their numbers of words."""
-    rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(*_key(id_col, text), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
+    rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(*_key(id_col, text), F.posexplode_outer(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
     return rows.select("d", "t", "pos", F.xxhash64("line").alias("h"), word_count(F.col("line")).alias("words")).filter("words > 0")
 
 
@@ -82,11 +82,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     d, t = _key(id_col, text)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep)).join(gone, d.eqNullSafe(F.col("__d")) & (t == F.col("__t")), "left")
-    # a column of its own: inside a lambda the split would run once for every line
-    rows = rows.withColumn("__lines", lines_of(F.col(f"`{text}`")))
-    lines = F.col("__lines")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    lines = lines_of(F.col(f"`{text}`"))
+
+    def left(x: Column) -> Column:
+        at = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
+        return F.array_join(F.transform(at, lambda i: x[i]), "\n")
+
+    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(let(lines, left))
     counted = {}
     counted["n_lines"] = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     counted["n_removed"] = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
