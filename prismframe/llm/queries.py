@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, langid, licenses, linededup, mixing, secrets, toxicity
+from prismframe.llm import chat, decontam, langid, licenses, linededup, mixing, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -38,6 +38,38 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id"""
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("d").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start_word"), "similarity")
+
+
+#: Leaks in {docs}: every aligned window is compared exactly, with shingles as text; no fingerprints.
+LEAKS_SQL = r"""
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), item_sh AS (
+  SELECT DISTINCT item_id, len(w) AS n, i AS off, array_to_string(w[i + 1 : i + 5], ' ') AS h
+  FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM item_words WHERE len(w) >= 5)
+), weights AS (SELECT h, 1.0::DOUBLE / count(DISTINCT item_id) AS weight FROM item_sh GROUP BY h),
+item_w AS (SELECT DISTINCT item_id, n, h, weight FROM item_sh JOIN weights USING (h)),
+totals AS (SELECT item_id, sum(weight) AS total FROM item_w GROUP BY item_id),
+doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs} WHERE text IS NOT NULL
+), doc_sh AS (
+  SELECT doc_id, i AS pos, array_to_string(w[i + 1 : i + 5], ' ') AS h FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM doc_words WHERE len(w) >= 5)
+), places AS (
+  SELECT DISTINCT doc_id, n, greatest(0, pos - off) AS start FROM doc_sh JOIN item_sh USING (h)
+), held AS (
+  SELECT DISTINCT p.doc_id, p.n, p.start, s.h FROM places p JOIN doc_sh s ON s.doc_id = p.doc_id AND s.pos >= p.start AND s.pos < p.start + p.n - 4
+), sims AS (
+  SELECT doc_id, item_id, start, round(sum(weight) / max(total), 6) AS similarity FROM held JOIN item_w USING (n, h) JOIN totals USING (item_id) GROUP BY doc_id, item_id, start
+), leaks AS (
+  SELECT doc_id, item_id, arg_max(start, (similarity, -start))::BIGINT AS start_word, max(similarity) AS similarity FROM sims WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+)"""
+
+OP2_SQL = "WITH " + LEAKS_SQL.format(docs="documents") + "\nSELECT * FROM leaks"
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = mixing.mix(table(spark, sf_dir, "documents"))
     return read.select(F.col("d").alias("doc_id"), "source", F.col("epoch").cast("long").alias("epoch"), "block", "slot", "tokens")
@@ -152,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}
