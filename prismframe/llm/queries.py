@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, decontam, langid, licenses, linededup, mixing, secrets, toxicity
+from prismframe.llm import chat, decontam, langid, licenses, linededup, mixing, ngramjoin, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -172,6 +172,10 @@ FROM documents d LEFT JOIN cleaned c USING (doc_id)"""
 )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).drop("t").withColumnRenamed("d", "doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(id_remainder("doc_id", 5) != 0))
