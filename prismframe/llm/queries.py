@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm import chat, decontam, langid, licenses, linededup, mixing, ngramjoin, secrets, toxicity
+from prismframe.llm import chat, decontam, embdedup, langid, licenses, linededup, mixing, ngramjoin, secrets, toxicity
 from prismframe.llm.common import id_remainder, table
 
 
@@ -183,6 +183,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "known")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
