@@ -126,8 +126,9 @@ def written(df: DataFrame) -> DataFrame:
 
 def word_count(c: Column) -> Column:
     """The number of whitespace-separated words; of a null text none."""
-    plain = F.trim(F.translate(F.coalesce(c, F.lit("")), "\t\n\r\f\x0b", "     "))
-    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " +"))).cast("long")
+    blanks = " \t\n\x0b\f\r"
+    plain = F.btrim(F.coalesce(c, F.lit("")), F.lit(blanks))
+    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, f"[{blanks}]+"))).cast("long")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismframe.llm import common
 from prismframe.llm.common import let, word_count
 
 LEAST_WORDS = 50
@@ -67,7 +68,7 @@ def stretches(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(d, t, start, end): stretches of lines of which an earlier place holds a copy."""
-    lines = line_table(docs, id_col, text).repartition("d", "t")
+    lines = common.written(line_table(docs, id_col, text)).repartition("d", "t")  # two branches read it
     again = lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("mark"))
     near = stretches(lines, least_words).join(again, "mark", "left_semi").drop("mark")
     first = near.groupBy("run").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
