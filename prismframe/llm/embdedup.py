@@ -3,10 +3,10 @@
 1. Vectors are normalised in double precision. Centroids are fitted on a bounded sample; every vector goes to the shards of its ``overlap``
    nearest centroids. A shard that is much larger than planned is dealt out as pairs of blocks, so no task holds more than two.
 2. Build: in a block, each vector's nearest vectors are its candidates, and robust pruning keeps those that are not nearer to a kept one
-   (times ``alpha``) than to the vector. Adjacency lists of one vector from all its shards are united.
-3. Search: edges count both ways. In every block pair, every vector is a query. Its greedy search starts at the block's medoids
-   and at one vertex of every part of the graph that can't be reached from others (a tight group of copies), and expands the nearest
-   unexpanded vertex; as soon as a vertex within the range is known, all vertices within the range are expanded, until none is left.
+   (times ``alpha``) than to the vector; a few edges drawn at random are added. Adjacency lists of one vector from all its shards are united.
+3. Search: edges count both ways. In every block pair, every vector is a query. Its greedy search starts at the block's medoids,
+   at one vertex of every part of the graph that can't be reached from others (a tight group of copies) and at the query itself where it is
+   a vertex, and expands the nearest unexpanded vertex; as soon as a vertex within the range is known, all vertices within the range are expanded, until none is left.
 4. Verify: a pair counts if its cosine in double precision reaches the threshold. A pair that meets in several shards counts in
    the first, which both vectors know from their lists of shards. Tasks return counts and a spanning forest, never the pairs.
 5. Audit: for a bounded set of queries the links are counted by brute force over all vectors, in blocks. If fewer than
@@ -43,9 +43,10 @@ class Settings:
     most_centroids: int = 2048
     candidates: int = 48
     degree: int = 16
+    long: int = 4  #: edges of a vertex to vertices drawn at random: they lead into and out of tight groups
     alpha: float = 1.2
     starts: int = 4  #: medoids of a block that a search starts from
-    beam: int = 24
+    beam: int = 64  #: expansions of a search before it has reached the range
     audit: int = 200  #: vectors whose links are counted by brute force, at most
     recall: float = 0.98
     seed: int = 5
@@ -122,7 +123,9 @@ def robust_prune(x: np.ndarray, s: Settings) -> list[np.ndarray]:
         between = np.sqrt(np.maximum(0, 2 - 2 * cos[new[:, None], near[who]]))
         between[near[who] == new[:, None]] = 0
         alive[who] &= ~((s.alpha * between <= far[who]) & (np.arange(k) > at))
-    return [kept[i, : count[i]] for i in range(n)]
+    drawn = np.random.default_rng(s.seed).integers(0, n - 1, (n, min(s.long, n - 1)))
+    drawn += drawn >= rows[:, None]  # not itself
+    return [np.union1d(kept[i, : count[i]], drawn[i]) for i in range(n)]
 
 
 def pad(lists: list[np.ndarray], least: int = 1) -> np.ndarray:
@@ -157,10 +160,10 @@ def both_ways(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.unique(forest(n, a, b))
 
 
-def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, parts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, parts: np.ndarray, own: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(query, place) of every vector that the searches find within the range. All queries take a step at a time.
 
-    A query expands its nearest unexpanded vertex, ``beam`` times or as long as that vertex is within the range.
+    ``own`` has the place of a query that is a vertex, else -1. A query expands its nearest unexpanded vertex, ``beam`` times or as long as that vertex is within the range.
     """
     n, m = len(q), len(x)
     cos = np.full((n, m), -3.0, np.float32)  # -3: not seen
@@ -169,6 +172,8 @@ def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, parts: np.ndar
     start = np.union1d(medoids(x, s.starts), parts)
     cos[:, start] = q32 @ x32[start].T
     open_[:, start] = True
+    here = np.flatnonzero(own >= 0)
+    cos[here, own[here]], open_[here, own[here]] = 1, True
     wide = s.cosine - 1e-4  # single precision; what is found is verified in double
     expanded = np.zeros(n, np.int64)
     active = np.arange(n)
@@ -267,10 +272,11 @@ def search(placed: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
                 if not len(q) or not len(base):
                     continue
                 place = {ids[r]: k for k, r in enumerate(base.tolist())}
+                own = np.array([place.get(ids[r], -1) for r in q.tolist()])
                 lists, parts = both_ways([np.array([place[o] for o in near[r] if o in place], np.int64) for r in base.tolist()])
                 for lo in range(0, len(q), 512):
                     part = q[lo : lo + 512]
-                    f, g = range_search(x[part], x[base], lists, parts, s)
+                    f, g = range_search(x[part], x[base], lists, parts, own[lo : lo + 512], s)
                     left.append(part[f])
                     right.append(base[g])
             left, right = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
