@@ -82,15 +82,21 @@ def center(v: Vector, mean: Vector) -> Vector:
     return F.zip_with(v, mean, lambda x, m: d(x) - m)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda an outer expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(v: Vector) -> Vector:
     """Unit length; a zero vector has null components."""
-    return F.transform(v, lambda x: F.try_divide(d(x), norm(v)))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(d(x), n)))
 
 
 def z_normalize(v: Vector, eps: float = 1e-20) -> Vector:
-    mean = total(F.transform(v, d)) / F.size(v)
-    sd = F.sqrt(total(F.transform(v, lambda x: (d(x) - mean) * (d(x) - mean))) / F.size(v))
-    return F.transform(v, lambda x: (d(x) - mean) / (sd + eps))
+    def scaled(c: Vector) -> Vector:
+        return let(F.sqrt(dot(c, c) / F.size(c)), lambda sd: F.transform(c, lambda x: x / (sd + eps)))
+
+    return let(let(total(F.transform(v, d)) / F.size(v), lambda m: F.transform(v, lambda x: d(x) - m)), scaled)
 
 
 def spread_zeros(n_cols: int, n_zeros: int) -> list[int]:
@@ -284,13 +290,15 @@ def tree_code(v: Vector, levels: Sequence[dict]) -> Column:
 
     A level has dim, vals (one a node), and optionally offset and scale, which the value goes through first.
     """
-    g = F.lit(0)
-    for s in levels:
-        x = (d(v[s["dim"]]) - F.lit(float(s.get("offset", 0.0)))) * F.lit(float(s.get("scale", 1.0)))
-        vals = s["vals"]
-        at = F.lit(float(vals[0])) if len(vals) == 1 else literal(vals)[g]
-        g = g * 2 + (x > at).cast("int")
-    return g
+    values = [(d(v[s["dim"]]) - F.lit(float(s.get("offset", 0.0)))) * F.lit(float(s.get("scale", 1.0))) for s in levels]
+
+    def node(level: int, g: int) -> Column:
+        # a decision a node: nothing is computed twice on the way to a leaf, and the code stays short enough to be compiled
+        if level == len(levels):
+            return F.lit(g)
+        return F.when(values[level] > F.lit(float(levels[level]["vals"][g])), node(level + 1, 2 * g + 1)).otherwise(node(level + 1, 2 * g))
+
+    return node(0, 0)
 
 
 def split_code(v: Vector, splits: Sequence[tuple[int, float]]) -> Column:

@@ -122,10 +122,12 @@ def rbf_vote(rows: DataFrame, centers: DataFrame, gamma: float = 1.0, vector: st
     rows = rows.select(by, F.array(*(F.struct(F.lit(label).alias("label"), d.alias("d2")) for label, d in d2)).alias("all"))
     rows = rows.withColumn("least", F.array_min(F.transform("all", lambda x: x["d2"])))
     votes = rows.select(by, F.transform("all", lambda x: F.struct(x["label"].alias("label"), F.exp((F.col("least") - x["d2"]) * gamma).alias("w"))).alias("all"))
-    sums = [
-        F.struct((-F.aggregate(F.filter("all", lambda x, y=y: x["label"] == y), F.lit(0.0), lambda s, x: s + x["w"])).alias("w"), F.lit(y).alias("label"))
-        for y in sorted({label for label, _ in table})
-    ]
+
+    def vote(label: int) -> Column:
+        own = F.filter("all", lambda x: x["label"] == label)
+        return F.struct((-F.aggregate(own, F.lit(0.0), lambda s, x: s + x["w"])).alias("w"), F.lit(label).alias("label"))
+
+    sums = [vote(label) for label in sorted({label for label, _ in table})]
     return votes.select(by, F.array_min(F.array(*sums))["label"].alias("pred"))
 
 

@@ -30,12 +30,16 @@ def join_timings(quality: DataFrame, timings: DataFrame, families: Mapping[str,
     return out
 
 
-def at_or_below(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str, value: str, id_col: str) -> DataFrame:
-    """REL03: each left row with the right row of its keys whose value is the largest at or below the target, else the smallest."""
+def at_or_below(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str, value: str, id_col: str, other_id: str | None = None) -> DataFrame:
+    """REL03: each left row with the right row of its keys whose value is the largest at or below the target, else the smallest.
+
+    With ``other_id``, ties go to its smallest value, and a right row whose id is the left row's own is left out.
+    """
     joined = left.join(right.select(*keys, *(c for c in right.columns if c not in keys)), list(keys))
+    joined = joined.filter(F.col(other_id) != F.col(id_col)) if other_id else joined
     below = F.col(value) <= F.col(target)
     # one number to order by: those at or below first, from the largest; then the others from the smallest
-    order = [below.desc(), F.when(below, -F.col(value)).otherwise(F.col(value))]
+    order = [below.desc(), F.when(below, -F.col(value)).otherwise(F.col(value)), *([other_id] if other_id else [])]
     w = Window.partitionBy(id_col).orderBy(*order)
     return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
