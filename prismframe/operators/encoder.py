@@ -43,8 +43,8 @@ class Spec:
 
 
 def by_accuracy(reduction: str = "l2", accuracy: str = "medium") -> Spec:
-    """VQ19: two 4-bit codes a byte."""
-    return Spec(n_codebooks=2 * ACCURACY[accuracy], reduction=reduction)
+    """VQ19: two 4-bit codes a byte; tables are rounded to the nearest integer, so that sums have no bias when they are taken back."""
+    return Spec(n_codebooks=2 * ACCURACY[accuracy], reduction=reduction, quantize="rint")
 
 
 @dataclass

@@ -129,12 +129,16 @@ def read_dirty_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_benchmark(lines: DataFrame, c: str = "value") -> DataFrame:
-    """SRC16: (name, n, d, m, times) of lines ``name, N,D,M: n,d,m, times: t, t, ...``; others are left out."""
-    pattern = r"^\s*(.*?),?\s*N,\s*D,\s*M\S*\s*:?\s*(\d+),\s*(\d+),\s*(\d+)\D.*?:\s*([0-9.,\s]+)$"
+    """SRC16: (name, n, d, m, extra, times, rates) of lines ``name N, D, M, ...: n, d, m, ... (trials): time (rate/s), ...``; others are left out."""
+    pattern = r"^(.*?)\s+N,\s*D,\s*M[^:]*:\s*(\d+),\s*(\d+),\s*(\d+),?\s*([^(]*?)\s*\([^)]*\):\s*(.*)$"
     rows = lines.filter(F.col(c).rlike(pattern))
     part = lambda i: F.regexp_extract(c, pattern, i)
-    times = F.filter(F.transform(F.split(part(5), r"[,\s]+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    return rows.select(part(1).alias("name"), *(part(i + 2).cast("long").alias(n) for i, n in enumerate("ndm")), times.alias("times"))
+
+    def numbers(found: str) -> Column:
+        return F.transform(F.regexp_extract_all(part(6), F.lit(found), F.lit(1)), lambda x: x.try_cast("double"))
+
+    shape = [part(i + 2).cast("long").alias(n) for i, n in enumerate("ndm")]
+    return rows.select(part(1).alias("name"), *shape, part(5).alias("extra"), numbers(r"([-+.0-9e]+)\s*\(").alias("times"), numbers(r"\(([-+.0-9e]+)/s\)").alias("rates"))
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
