@@ -161,6 +161,24 @@ def buckets(classes: DataFrame, s: Settings) -> DataFrame:
     return out
 
 
+def useful(entries: DataFrame, s: Settings) -> DataFrame:
+    """(c, homes, visits): for each class its bucket in every run (0 for none), and the buckets in which it must be compared.
+
+    A bucket whose classes all share one bucket of an earlier run can hold no new pair, so nothing is sent there.
+    """
+    listed = entries.groupBy("c").agg(F.collect_list(F.struct("run", "bucket")).alias("l"))
+    home = F.transform(
+        F.sequence(F.lit(0), F.lit(s.runs - 1)), lambda r: F.coalesce(F.get(F.filter("l", lambda h: h["run"] == r), F.lit(0))["bucket"], F.lit(0).cast("long"))
+    )
+    placed = common.written(entries.join(listed.select("c", home.alias("homes")), "c"))
+    known = F.lit(False)
+    spans = [f(F.element_at("homes", r + 1)).alias(f"{n}{r}") for r in range(s.runs - 1) for n, f in (("low", F.min), ("high", F.max))]
+    for r in range(s.runs - 1):
+        known = known | ((F.col("run") > r) & (F.col(f"low{r}") == F.col(f"high{r}")) & (F.col(f"low{r}") != 0))
+    fresh = placed.groupBy("run", "bucket").agg(*spans).filter(~known).select("run", "bucket")
+    return placed.join(fresh, ["run", "bucket"]).groupBy("c").agg(F.first("homes").alias("homes"), F.collect_list(F.struct("run", "bucket", "n")).alias("visits"))
+
+
 # ---------------------------------------------------------------- comparing
 
 
@@ -267,18 +285,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Setting
     signed = common.written(signatures(docs, id_col, text, s).dropDuplicates(["d", "t"]))
     classes = signed.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("d", "t")).alias("rep"), F.count("*").alias("size"), F.first("paths").alias("paths"))
     classes = common.written(classes)
-    homes = buckets(classes.select("c", "paths"), s).groupBy("c").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("homes"))
-    wanted = classes.drop("paths").join(homes, "c").select("c", "size", "homes", F.col("rep.d").alias("rd"), F.col("rep.t").alias("rt"))
+    visits = useful(buckets(classes.select("c", "paths"), s), s)
+    wanted = classes.drop("paths").join(visits, "c").select("c", "size", "homes", "visits", F.col("rep.d").alias("rd"), F.col("rep.t").alias("rt"))
 
     source = docs.select(F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("x"))
     texts = source.join(wanted, F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt"))).drop("d", "t", "rd", "rt")
     tokens = common.map_text(
-        texts, "x", ["c", "size", "homes"], [T.StructField("tokens", T.BinaryType())], lambda arr: [pa.array([x.tobytes() for x in shingle_sets(arr)], pa.binary())]
-    )
-    every = F.transform(
-        F.sequence(F.lit(0), F.lit(s.runs - 1)), lambda r: F.coalesce(F.get(F.filter("homes", lambda h: h["run"] == r), F.lit(0))["bucket"], F.lit(0).cast("long"))
+        texts, "x", ["c", "size", "homes", "visits"], [T.StructField("tokens", T.BinaryType())], lambda arr: [pa.array([x.tobytes() for x in shingle_sets(arr)], pa.binary())]
     )
-    dealt = tokens.select("c", "size", "tokens", every.alias("homes"), F.explode("homes").alias("h"))
+    dealt = tokens.select("c", "size", "tokens", "homes", F.explode("visits").alias("h"))
     blocks = F.ceil(F.col("h.n") / s.block).cast("int")
     dealt = dealt.select(
         F.col("h.run").alias("run"), F.col("h.bucket").alias("bucket"), "c", "size", "homes", "tokens", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("side"), blocks.alias("blocks")
