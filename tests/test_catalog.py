@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +25,7 @@ def same(got: pd.DataFrame, want: pd.DataFrame) -> None:
     assert len(got) == len(want)
     order = sorted(got.columns)
     a, b = (sorted(map(tuple, (tuple(None if missing(v) else v for v in r) for r in x[order].itertuples(index=False))), key=repr) for x in (got, want))
-    plain = lambda r: tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)
+    plain = lambda r: tuple(float(v) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool) else v for v in r)
     a, b = (sorted((plain(r) for r in x), key=repr) for x in (a, b))
     assert a == b
 
