@@ -153,6 +153,10 @@ def to_turns(df: DataFrame, id_col: str = "conv_id", block: int = 64, mappings:
     return whole.select(id_col, F.transform(rows, lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
+def _turn(role: str, body: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(canonical_role(x[role]).alias("role"), F.coalesce(x[body], F.lit("")).alias("text"))
+
+
 def json_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds ``fingerprint`` (long), ``layout`` and ``turns``, chosen row by row from the structure of a JSON record."""
 
@@ -173,7 +177,7 @@ def json_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAP
         if m.paths[0].count("[]"):
             (c, role), (_, body) = (p.split("[].") for p in m.paths)
             items = F.try_variant_get(record, f"$.{c}", f"array<struct<`{role}`:string,`{body}`:string>>")
-            made = F.transform(items, lambda x, role=role, body=body: F.struct(canonical_role(x[role]).alias("role"), F.coalesce(x[body], F.lit("")).alias("text")))
+            made = F.transform(items, _turn(role, body))
         else:
             user = text(m.paths[0])
             if len(m.paths) == 3:
