@@ -12,7 +12,7 @@ one. Every long enough common run is the union of such stretches, and a stretch
 whole by its hash with the earliest place of its kind. Two places are never paired, so a line that stands in a third of
 all documents costs no more than others: each step is an aggregate with partial sums on the map side.
 
-Defined results: a null text stays null; blank lines stay but for those inside a deleted stretch; rows equal in id and text are one document and get the same result;
+Defined results: a null text stays null, blank lines stay; rows equal in id and text are one document and get the same result;
 extra columns pass through.
 """
 
@@ -69,9 +69,11 @@ def stretches(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(d, t, start, end): stretches of lines of which an earlier place holds a copy."""
     lines = common.written(line_table(docs, id_col, text)).repartition("d", "t")  # two branches read it
-    again = lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("mark"))
-    near = stretches(lines, least_words).join(again, "mark", "left_semi").drop("mark")
-    first = near.groupBy("run").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # tables of their own, so that the joins read exchanges on both sides and a hot hash can be split
+    again = common.written(lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("mark")))
+    near = common.written(stretches(lines, least_words).join(again, "mark", "left_semi").drop("mark"))
+    first = near.groupBy("run").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n"))
+    first = common.written(first.filter("n > 1").drop("n"))
     return near.join(first, "run").filter(F.struct("d", "t", "start") > F.col("first")).select("d", "t", "start", "end")
 
 
@@ -85,12 +87,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     rows = docs.select(*(F.col(f"`{c}`") for c in keep)).join(gone, d.eqNullSafe(F.col("__d")) & (t == F.col("__t")), "left")
     lines = lines_of(F.col(f"`{text}`"))
 
-    def left(x: Column) -> Column:
-        at = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
-        return F.array_join(F.transform(at, lambda i: x[i]), "\n")
+    def cleaned(x: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(x) - 1)
+        blank = F.filter(every, lambda i: word_count(x[i]) == 0)
+        return let(F.array_except("__gone", blank), lambda gone: F.struct(F.array_join(F.transform(F.array_except(every, gone), lambda i: x[i]), "\n").alias("text"), F.size(gone).alias("n")))
 
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(let(lines, left))
+    # null without repeats, so that most texts aren't taken apart
+    rows = rows.withColumn("__new", F.when(F.col("__gone").isNotNull(), let(lines, cleaned)))
+    new = F.coalesce(F.col("__new.text"), F.col(f"`{text}`"))
     counted = {}
     counted["n_lines"] = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    counted["n_removed"] = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
+    counted["n_removed"] = F.coalesce(F.col("__new.n"), F.lit(0)).cast("long")
     return rows.select(*(new.alias(text) if c == text else F.col(f"`{c}`") for c in keep), *(v.alias(k) for k, v in counted.items()))

@@ -160,7 +160,7 @@ gone AS (
   SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM runs JOIN firsts USING (run) WHERE (doc_id, s) > first
 ), cleaned AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g IS NULL), '') AS text, count(*) AS n_lines, count(g) AS n_removed
-  FROM (SELECT l.*, gone.pos AS g FROM lines l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY doc_id
+  FROM (SELECT l.*, CASE WHEN words > 0 THEN gone.pos END AS g FROM lines l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos) GROUP BY doc_id
 )"""
 
 OP7_SQL = (
