@@ -150,7 +150,8 @@ def buckets(classes: DataFrame, s: Settings) -> DataFrame:
     rest = classes.select("c", "paths", F.explode(F.sequence(F.lit(0), F.lit(s.runs - 1))).alias("run")).select("c", "run", *prefix)
     done = []
     for k in range(s.depth):
-        counts = rest.groupBy(f"p{k}").agg(F.count("*").alias("n")).filter("n > 1")
+        # a table of its own, so that the join reads exchanges on both sides and a hot bucket can be split
+        counts = common.written(rest.groupBy(f"p{k}").agg(F.count("*").alias("n")).filter("n > 1"))
         level = common.written(rest.join(counts, f"p{k}"))
         last = k == s.depth - 1
         done.append(level.filter(F.lit(last) | (F.col("n") <= s.limit)).select("c", "run", F.col(f"p{k}").alias("bucket"), "n"))
@@ -175,7 +176,7 @@ def useful(entries: DataFrame, s: Settings) -> DataFrame:
     spans = [f(F.element_at("homes", r + 1)).alias(f"{n}{r}") for r in range(s.runs - 1) for n, f in (("low", F.min), ("high", F.max))]
     for r in range(s.runs - 1):
         known = known | ((F.col("run") > r) & (F.col(f"low{r}") == F.col(f"high{r}")) & (F.col(f"low{r}") != 0))
-    fresh = placed.groupBy("run", "bucket").agg(*spans).filter(~known).select("run", "bucket")
+    fresh = common.written(placed.groupBy("run", "bucket").agg(*spans).filter(~known).select("run", "bucket"))
     return placed.join(fresh, ["run", "bucket"]).groupBy("c").agg(F.first("homes").alias("homes"), F.collect_list(F.struct("run", "bucket", "n")).alias("visits"))
 
 
@@ -309,8 +310,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Setting
     labels = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")))
     known = classes.select("c", "size").join(counts, "c", "left").join(labels.withColumnRenamed("v", "c"), "c", "left")
     known = known.select("c", F.coalesce("label", "c").alias("label"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    members = signed.select("d", "t", "c").join(known, "c", "left")
-    first = members.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("d", "t")).alias("first"))
+    members = common.written(signed.select("d", "t", "c").join(common.written(known), "c", "left"))
+    first = common.written(members.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("d", "t")).alias("first")))
     return members.join(first, "label", "left").select(
         "d", "t",
         F.when(F.col("first").isNull(), F.col("d")).otherwise(F.col("first.d")).alias("class_id"),
