@@ -1,6 +1,6 @@
 """Embedding near-dedup: a robust-pruned flat graph over overlapping cluster shards, searched by expanding ranges from medoids.
 
-1. Vectors are normalised in double precision. Centroids are fitted on a bounded sample; every vector goes to the shards of its ``overlap``
+1. Vectors are normalised in double precision; equal ones form a class with a weight, so copies are never paired. Centroids are fitted on a bounded sample; every vector goes to the shards of its ``overlap``
    nearest centroids. A shard that is much larger than planned is dealt out as pairs of blocks, so no task holds more than two.
 2. Build: in a block, each vector's nearest vectors are its candidates, and robust pruning keeps those that are not nearer to a kept one
    (times ``alpha``) than to the vector; a few edges drawn at random are added. Adjacency lists of one vector from all its shards are united.
@@ -66,21 +66,26 @@ def matrix(arr: pa.Array) -> np.ndarray:
 
 
 def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(v, u): a 16-byte key of each row's id and vector, and the normalised vector; only rows that may link. Native."""
+    """(r, v, u): a 16-byte key of each row's id and vector, one of its normalised vector, and that; only rows that may link. Native."""
     x = F.transform(F.col(f"`{vector}`"), lambda e: e.cast("double"))
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    rows = df.select(F.col(f"`{id_col}`").alias("d"), x.alias("x"), row_key(id_col, vector).alias("v")).filter((F.size("x") > 0) & whole)
+    rows = df.select(x.alias("x"), row_key(id_col, vector).alias("r")).filter((F.size("x") > 0) & whole)
     top = F.array_max(F.transform("x", lambda e: F.abs(e)))
     # scaled by the largest component first, so that squares neither overflow nor vanish
-    scaled = rows.withColumn("top", top).filter("top > 0").select("d", "v", F.transform("x", lambda e: e / F.col("top")).alias("x"))
+    scaled = rows.withColumn("top", top).filter("top > 0").select("r", F.transform("x", lambda e: e / F.col("top")).alias("x"))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
-    return scaled.withColumn("length", length).select("d", "v", F.transform("x", lambda e: e / F.col("length")).alias("u")).dropDuplicates(["v"])
+    unit_ = scaled.withColumn("length", length).select("r", F.transform("x", lambda e: e / F.col("length")).alias("u"))
+    return unit_.select("r", _key(F.col("u")).alias("v"), "u").dropDuplicates(["r"])
+
+
+def _key(*values: Column) -> Column:
+    """128 bits of some values."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(*values, F.lit(salt))), 16, "0") for salt in (0, 1))))
 
 
 def row_key(id_col: str, vector: str) -> Column:
-    """What tells rows apart: hashes of the id and of the vector; the id's own hash first."""
-    d, x = F.col(f"`{id_col}`").cast("string"), F.col(f"`{vector}`")
-    return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(d, x)), 16, "0"), F.lpad(F.hex(F.xxhash64(x, d, F.lit(1))), 16, "0")))
+    """What tells rows apart."""
+    return _key(F.col(f"`{id_col}`").cast("string"), F.col(f"`{vector}`"))
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -222,7 +227,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def shards(rows: DataFrame, n: int, overlap: int, s: Settings) -> DataFrame:
-    """(v, u, shards): each vector with the shards of its nearest centroids, in ascending order."""
+    """(v, u, weight, shards): each class with the shards of its nearest centroids, in ascending order."""
     rng = np.random.default_rng(s.seed)
     share = min(1.0, 1.2 * s.sample / max(1, n))
     uniform = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -239,9 +244,9 @@ def shards(rows: DataFrame, n: int, overlap: int, s: Settings) -> DataFrame:
                 continue
             near = matrix(b.column(1)) @ where.value.T
             best = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["v", "u", "shards"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["v", "u", "weight", "shards"])
 
-    return common.written(rows.select("v", "u").mapInArrow(run, "v binary, u array<double>, shards array<int>"))
+    return common.written(rows.select("v", "u", "weight").mapInArrow(run, "v binary, u array<double>, weight long, shards array<int>"))
 
 
 def build(placed: DataFrame, s: Settings) -> DataFrame:
@@ -264,6 +269,7 @@ def search(placed: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
         for (shard, i, j), t in _groups(batches, ("shard", "i", "j")):
             ids, x = t.column("v").to_pylist(), matrix(t.column("u").combine_chunks())
             side = t.column("side").to_numpy()
+            weight = t.column("weight").to_numpy()
             homes = pad([np.array(h) for h in t.column("shards").to_pylist()])
             near = t.column("near").to_pylist()
             left, right = [], []
@@ -291,7 +297,9 @@ def search(placed: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
             left, right = left[ok], right[ok]
             ok = np.einsum("ij,ij->i", x[left], x[right]) >= s.cosine
             left, right = left[ok], right[ok]
-            links = np.bincount(left, minlength=len(ids)) + np.bincount(right, minlength=len(ids))
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, left, weight[right])
+            np.add.at(links, right, weight[left])
             root = forest(len(ids), left, right)
             has = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +307,7 @@ def search(placed: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
             )
 
     rows = placed.join(graph, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shard", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "u", "shards", "near")
+    rows = rows.select("shard", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "u", "weight", "shards", "near")
     rows = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "side", "v")
     return common.written(rows.mapInArrow(run, "v binary, links long, root binary"))
 
@@ -308,7 +316,7 @@ def audit(rows: DataFrame, counts: DataFrame, n: int, s: Settings) -> float:
     """The found share of the links of a bounded set of vectors, counted by brute force over all."""
     share = min(1.0, s.audit / max(1, n))
     uniform = F.pmod(F.xxhash64("v", F.lit(s.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    asked = rows.filter(uniform <= share).select("v", "u").limit(2 * s.audit).collect()
+    asked = rows.filter(uniform <= share).select("v", "u", "weight").limit(2 * s.audit).collect()
     if not asked:
         return 1.0
     where = rows.sparkSession.sparkContext.broadcast((unit([r["u"] for r in asked]), s.cosine))
@@ -318,41 +326,44 @@ def audit(rows: DataFrame, counts: DataFrame, n: int, s: Settings) -> float:
         true = np.zeros(len(q), np.int64)
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(0))
+                x, weight = matrix(b.column(0)), b.column(1).to_numpy()
                 for lo in range(0, len(x), 4096):
-                    true += (q @ x[lo : lo + 4096].T >= least).sum(1)
+                    true += (q @ x[lo : lo + 4096].T >= least) @ weight[lo : lo + 4096]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(true)], names=["q", "n"])
 
-    true = rows.select("u").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] - 1 for r in true)  # each vector meets itself
+    true = rows.select("u", "weight").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in true) - sum(r["weight"] for r in asked)  # each class meets itself
     found = counts.filter(F.col("v").isin([bytes(r["v"]) for r in asked])).agg(F.sum("links")).first()[0] or 0
     return found / total if total else 1.0
 
 
 def dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", s: Settings = Settings()) -> DataFrame:
     """(id, n_links, component_id, kept), one row a vector."""
-    rows = common.written(vectors(df, id_col, vector))
-    sizes = rows.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    n = sizes[0]["n"] if sizes else 0
-    rows = rows.filter(F.size("u") == sizes[0]["size"]) if n else rows
-    overlap = s.overlap
-    while n:
-        placed = shards(rows, n, overlap, s).select("v", "u", "shards", F.explode("shards").alias("shard"))
+    members = common.written(vectors(df, id_col, vector))
+    sizes = members.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
+    every = df.select(F.col(f"`{id_col}`").alias("d"), row_key(id_col, vector).alias("r")).dropDuplicates(["r"])
+    if not sizes:
+        return every.select(F.col("d").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("d").alias("component_id"), F.lit(True).alias("kept"))
+    members = members.filter(F.size("u") == sizes[0]["size"])
+    rows = common.written(members.groupBy("v").agg(F.first("u").alias("u"), F.count("*").alias("weight")))
+    n, overlap = rows.count(), s.overlap
+    while True:
+        placed = shards(rows, n, overlap, s).select("v", "u", "weight", "shards", F.explode("shards").alias("shard"))
         per = placed.groupBy("shard").agg(F.count("*").alias("m"))
         placed = placed.join(F.broadcast(per), "shard")  # a row a centroid
         blocks = F.ceil(F.col("m") / s.block).cast("int")
-        placed = placed.select("shard", "v", "u", "shards", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("side"))
+        placed = placed.select("shard", "v", "u", "weight", "shards", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("side"))
         links = search(placed, build(placed, s), s)
         counts = common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
         if overlap >= s.most_overlap or audit(rows, counts, n, s) >= s.recall:
             break
         overlap += 1
-    every = df.select(F.col(f"`{id_col}`").alias("d"), row_key(id_col, vector).alias("v")).dropDuplicates(["v"])
-    if not n:
-        return every.select(F.col("d").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("d").alias("component_id"), F.lit(True).alias("kept"))
     labels = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
-    known = every.join(counts, "v", "left").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    first = known.groupBy("label").agg(F.min("d").alias("component_id"))
-    return known.join(first, "label").select(
-        F.col("d").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept")
+    known = rows.select("v", "weight").join(counts, "v", "left").join(labels, "v", "left")
+    known = common.written(known.select("v", F.coalesce("label", "v").alias("label"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    # tables of their own, so that the joins read exchanges on both sides and a large class or component can be split
+    placed = common.written(every.join(members.select("r", "v"), "r", "left").join(known, "v", "left").withColumn("label", F.coalesce("label", "r")).drop("v", "r"))
+    first = common.written(placed.groupBy("label").agg(F.min("d").alias("component_id")))
+    return placed.join(first, "label").select(
+        F.col("d").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept")
     )
