@@ -138,18 +138,19 @@ class Model:
         return dist.cast("double") / F.lit(float(self.scale)) + F.lit(float(self.offsets.sum()))
 
     def transform(self, codes: DataFrame, queries: DataFrame, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """VQ05-VQ11: (query_id, id, dist_q, dist) of all codes against all queries; the tables are the broadcast side."""
+        """VQ05-VQ11: (query_id, id, dist_q, dist) of all codes against all queries; the tables are the broadcast side, if they are few."""
         n = self.spec.n_codebooks
         luts = self.luts(queries, query_id, vector)
         if n <= MOST_UNROLLED:
-            # some KB a query: searches hand queries over in blocks
-            pairs = codes.crossJoin(F.broadcast(luts)).select("query_id", F.col(id_col).alias("id"), self._dist("codes", "lut").alias("dist_q"))
+            pairs = codes.crossJoin(knn.few(luts)).select("query_id", F.col(id_col).alias("id"), self._dist("codes", "lut").alias("dist_q"))
         else:
             pairs = self._scan_wide(codes, luts, id_col)
         return pairs.withColumn("dist", self._unquantized(F.col("dist_q")))
 
     def _scan_wide(self, codes: DataFrame, luts: DataFrame, id_col: str) -> DataFrame:
-        rows = [(r["query_id"], r["lut"]) for r in luts.limit(knn.BLOCK).collect()]
+        rows = [(r["query_id"], r["lut"]) for r in luts.limit(knn.BLOCK + 1).collect()]
+        if len(rows) > knn.BLOCK:
+            raise ValueError(f"more than {knn.BLOCK} queries at once against {self.spec.n_codebooks} codebooks: search in blocks")
         ids, table = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
         flat = np.arange(self.spec.n_codebooks) * self.spec.k
 

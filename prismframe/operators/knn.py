@@ -28,6 +28,11 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T)
 
 
+def few(df: DataFrame, most: int = BLOCK) -> DataFrame:
+    """For a join: broadcast if it has at most ``most`` rows, else as it is, and Spark deals both sides out."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, rows = [], []
     for r in queries.select(query_id, vector).filter(F.col(vector).isNotNull()).toLocalIterator():

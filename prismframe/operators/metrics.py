@@ -25,8 +25,8 @@ def precision_at(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 def share_below_farthest(scanned: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """MET04: one row (mean, std, p50, p90) of the share of rows that are scanned no farther than the farthest of the true k."""
     true = exact.filter(F.col("rank") <= k).select("query_id", "id")
-    top = scanned.join(F.broadcast(true), ["query_id", "id"]).groupBy("query_id").agg(F.max("dist").alias("top"))
-    share = scanned.join(F.broadcast(top), "query_id").groupBy("query_id").agg(F.avg((F.col("dist") <= F.col("top")).cast("int")).alias("share"))
+    top = scanned.join(true, ["query_id", "id"]).groupBy("query_id").agg(F.max("dist").alias("top"))
+    share = scanned.join(top, "query_id").groupBy("query_id").agg(F.avg((F.col("dist") <= F.col("top")).cast("int")).alias("share"))
     return share.agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("std"), F.percentile("share", F.lit(0.5)).alias("p50"), F.percentile("share", F.lit(0.9)).alias("p90"))
 
 

@@ -48,8 +48,7 @@ def l2_norm_expansion(spark, sf):
     """DST04 as a column expression."""
     e = embeddings(spark, sf)
     q = asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    q = F.broadcast(q) if q.limit(knn.BLOCK + 1).count() <= knn.BLOCK else q
-    rows = e.join(q, F.lit(True))
+    rows = e.join(knn.few(q), F.lit(True))
     return rows.select("query_id", F.col("vec_id").alias("id"), F.round(F.greatest(F.lit(0.0), knn.norm_expansion(rows, "embedding", "q")), 6).alias("dist"))
 
 
@@ -299,7 +298,7 @@ def _quantized(spark, sf):
     """Codes, and tables of integers with offset 0 and scale 200, so that sums of 16 entries reach 255."""
     e, m = _given(spark, sf)
     lut = m.luts(asked(e)).select("query_id", F.transform("lut", lambda x: V.affine_u8(F.round(x, 9), 0.0, 200.0)).alias("lut"))
-    return m.encode(e).crossJoin(F.broadcast(lut))
+    return m.encode(e).crossJoin(knn.few(lut))
 
 
 @query(f"WITH {QUANT} SELECT query_id, c::INT AS codebook, k::INT AS centroid, v AS x FROM lut")
@@ -390,8 +389,7 @@ def hamming_topk(spark, sf):
     bits = F.transform("embedding", lambda x: (x > 0).cast("int"))
     b = e.select("vec_id", F.array(V.pack_long(F.slice(bits, 1, 32), 32, 1), V.pack_long(F.slice(bits, 33, 32), 32, 1)).alias("b"))
     q = asked(b).select(F.col("vec_id").alias("query_id"), F.col("b").alias("q"))
-    q = F.broadcast(q) if q.limit(knn.BLOCK + 1).count() <= knn.BLOCK else q
-    rows = b.join(q, F.lit(True)).select("query_id", F.col("vec_id").alias("id"), V.hamming_bits(F.col("b"), F.col("q")).alias("dist"))
+    rows = b.join(knn.few(q), F.lit(True)).select("query_id", F.col("vec_id").alias("id"), V.hamming_bits(F.col("b"), F.col("q")).alias("dist"))
     return knn.top_k(rows, "query_id", [F.col("dist"), F.col("id")], 10)
 
 

@@ -95,7 +95,7 @@ def fill_missing(df: DataFrame, vector: str, id_col: str) -> DataFrame:
 def reindex_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
     """SRC07: labels as 0 to C - 1, in order; labels are few."""
     values = df.select(label).distinct().withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(values), label)
+    return df.join(values, label)
 
 
 def read_meters(spark: SparkSession, path: str, schema: str, time: str) -> DataFrame:
