@@ -123,10 +123,57 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans_sql(k: int, rule: secrets.Rule) -> str:
+    """Rows (doc_id, k, kind, a, b): a match's place is the length of all pieces and matches before it."""
+    p = _quoted(rule.pattern)
+    return f"""
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS a,
+    length(found[i]) AS n, length(counted[i]) AS counted, {rule.least} AS least
+  FROM (SELECT doc_id, pieces, found, counted, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT doc_id, regexp_split_to_array(text, {p}) AS pieces, regexp_extract_all(text, {p}, 0) AS found, regexp_extract_all(text, {p}, {rule.group}) AS counted FROM documents))"""
+
+
+OP4_SQL = f"""WITH m AS ({" UNION ALL ".join(_spans_sql(k, r) for k, r in enumerate(secrets.BASE + secrets.MORE))}
+), s AS (SELECT doc_id, k, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM m WHERE counted >= least
+), g AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))},
+    string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(secrets.BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), w AS (SELECT doc_id, {_WORDS.format("x")} AS w FROM d),
+phrases(phrase, label) AS (VALUES {", ".join(f"(string_split({_quoted(p)}, ' '), {_quoted(label)})" for p, label in licenses.PHRASES)}),
+places AS (
+  SELECT doc_id, label, i FROM (SELECT doc_id, w, label, phrase, unnest(range(len(w) - len(phrase) + 1)) AS i FROM w, phrases) WHERE w[i + 1 : i + len(phrase)] = phrase
+), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+templates(t, label, least, body) AS (VALUES {", ".join(f"({i}, {_quoted(t.label)}, {t.threshold}, {_quoted(t.text.lower())})" for i, t in enumerate(licenses.TEMPLATES))}),
+tokens AS (SELECT t, label, least, unnest(list_distinct({_WORDS.format("body")})) AS token FROM templates),
+sizes AS (SELECT t, count(*) AS n FROM tokens GROUP BY t),
+lines AS (SELECT doc_id, line, unnest(list_distinct({_WORDS.format("body")})) AS token FROM (
+  SELECT doc_id, unnest(string_split(x, chr(10))) AS body, unnest(range(len(string_split(x, chr(10))))) AS line FROM d)),
+met AS (SELECT doc_id, label, max(share) AS share FROM (
+  SELECT doc_id, line, t, label, least, count(*)::DOUBLE / max(n) AS share FROM lines JOIN tokens USING (token) JOIN sizes USING (t) GROUP BY doc_id, line, t, label, least)
+  WHERE share >= least::DOUBLE GROUP BY doc_id, label),
+every AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM places UNION ALL SELECT doc_id, label, share FROM met),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 4) != 2))
@@ -176,6 +223,18 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents")).drop("t").withColumnRenamed("d", "doc_id")
 
 
+#: All pairs that share a shingle are compared, and groups are found by reachability.
+OP8_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS h FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * k >= 4 * (x.n + y.n)),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, b FROM reach JOIN link ON a = r)
+SELECT v AS doc_id, min(r) AS class_id, (SELECT count(*) FROM link WHERE a = v)::BIGINT AS n_links, min(r) = v AS kept FROM reach GROUP BY v"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(id_remainder("doc_id", 5) != 0))
@@ -187,9 +246,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = """WITH RECURSIVE x AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM x WHERE list_inner_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT v, b FROM reach JOIN link ON a = r)
+SELECT v AS vec_id, min(r) AS component_id, (SELECT count(*) FROM link WHERE a = v)::BIGINT AS n_links, min(r) = v AS kept FROM reach GROUP BY v"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {
+        "op1_chat_formatting": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_mixing": OP3_SQL, "op4_secret_scans": OP4_SQL, "op5_license_scans": OP5_SQL,
+        "op7_line_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_embedding_dedup": OP10_SQL,
+    }
