@@ -41,7 +41,7 @@ class Settings:
     den: int = 5
     depth: int = 3
     limit: int = 32
-    recall: float = 0.999
+    recall: float = 0.9999
     block: int = 512
     seed: int = 20_011
 
