@@ -42,7 +42,7 @@ class Settings:
     depth: int = 3
     limit: int = 32
     recall: float = 0.9999
-    block: int = 512
+    block: int = 256
     seed: int = 20_011
 
     @property
