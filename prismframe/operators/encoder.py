@@ -165,10 +165,44 @@ class Model:
         return codes.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, dist_q double")
 
     def knn(self, codes: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """KNN04, KNN05: the k nearest by codes; products are ordered from the largest."""
-        scanned = self.transform(codes, queries, id_col, query_id, vector)
-        first = F.col("dist_q") if self.spec.reduction == "l2" else F.col("dist_q").desc()
-        return knn.top_k(scanned, "query_id", [first, F.col("id")], k)
+        """KNN04, KNN05: (query_id, id, dist_q, dist, rank) of the k nearest by codes; products are ordered from the largest, ties by id.
+
+        With plain or clipped sums every Arrow batch looks all queries up and passes on its k nearest of each, so that neither the scan's
+        rows are sorted nor more than k a batch and query shuffled. Other accumulations scan in the JVM and rank all rows.
+        """
+        sign = 1 if self.spec.reduction == "l2" else -1
+        if self.spec.accumulate not in ("sum", "u8"):
+            scanned = self.transform(codes, queries, id_col, query_id, vector)
+            return knn.top_k(scanned, "query_id", [F.col("dist_q") * sign, F.col("id")], k)
+        top, out = 255 if self.spec.accumulate == "u8" else None, None
+        flat = np.arange(self.spec.n_codebooks) * self.spec.k
+        for ids, q in knn.blocks(queries, query_id, vector):
+            where = codes.sparkSession.sparkContext.broadcast((ids, self.luts_of(q).reshape(len(q), -1)))  # a block's tables
+
+            def run(batches, where=where):
+                ids, tables = where.value
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    own = b.column(0).to_numpy(zero_copy_only=False)
+                    at = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) + flat
+                    at = np.ascontiguousarray(at.T, np.int32)
+                    for query, table in zip(ids, tables, strict=True):
+                        dist = table[at[0]]
+                        for c in at[1:]:
+                            dist = dist + table[c]
+                        dist = dist if top is None else np.minimum(dist, top)
+                        near = dist * sign
+                        # the k-th distance and all ties with it, so that ids decide
+                        take = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]) if len(near) > k else np.arange(len(near))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), query)), pa.array(own[take], pa.int64()), pa.array(dist[take].astype(np.float64))], names=["query_id", "id", "dist_q"])
+
+            part = codes.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, dist_q double")
+            out = part if out is None else out.union(part)
+        if out is None:
+            out = codes.sparkSession.createDataFrame([], "query_id long, id long, dist_q double")
+        out = out.withColumn("dist", self._unquantized(F.col("dist_q")))
+        return knn.top_k(out, "query_id", [F.col("dist_q") * sign, F.col("id")], k)
 
     def reconstruct(self, codes: np.ndarray) -> np.ndarray:
         return codebook.decode(codes, self.books)

@@ -33,7 +33,8 @@ def few(df: DataFrame, most: int = BLOCK) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries, at most BLOCK at a time."""
     ids, rows = [], []
     for r in queries.select(query_id, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
         ids.append(r[0])
@@ -85,7 +86,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, id_col: str, query_id
         return np.nonzero(dist <= limit)
 
     out = None
-    for ids, q in _blocks(queries, query_id, vector):
+    for ids, q in blocks(queries, query_id, vector):
         part = _scan(base, id_col, vector, ids, q, pick, metric, not_self)
         out = part if out is None else out.union(part)
     if out is None:
@@ -97,7 +98,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, id_col: str, query_id
 def radius_join(base: DataFrame, queries: DataFrame, r2: float, id_col: str, query_id: str, vector: str = "embedding") -> DataFrame:
     """KNN07: (query_id, id, dist) of all pairs nearer than r2, strictly, but not of a row with itself."""
     out = None
-    for ids, q in _blocks(queries, query_id, vector):
+    for ids, q in blocks(queries, query_id, vector):
         part = _scan(base, id_col, vector, ids, q, lambda dist: np.nonzero(dist < r2), "l2", True)
         out = part if out is None else out.union(part)
     return out if out is not None else base.sparkSession.createDataFrame([], "query_id long, id long, dist double")

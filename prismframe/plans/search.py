@@ -345,16 +345,14 @@ def _top(order):
 def vq_knn_l2(spark, sf):
     """KNN04, VQ05, VQ19: encode, look up, scan, keep the ten nearest."""
     e, m = _given(spark, sf)
-    scanned = m.transform(m.encode(e), asked(e))
-    return knn.top_k(scanned, "query_id", [F.round("dist", 9), F.col("id")], 10).select("query_id", "id", F.round("dist", 6).alias("dist"), "rank")
+    return m.knn(m.encode(e), asked(e), 10).select("query_id", "id", F.round("dist", 6).alias("dist"), "rank")
 
 
 @query(f"WITH {SCAN.format('dot')} {_top('round(d, 9) DESC, id')}")
 def vq_mips(spark, sf):
     """KNN05."""
     e, m = _given(spark, sf, reduction="dot")
-    scanned = m.transform(m.encode(e), asked(e))
-    return knn.top_k(scanned, "query_id", [F.round("dist", 9).desc(), F.col("id")], 10).select("query_id", "id", F.round("dist", 6).alias("dist"), "rank")
+    return m.knn(m.encode(e), asked(e), 10).select("query_id", "id", F.round("dist", 6).alias("dist"), "rank")
 
 
 @query(f"WITH {QUANT} SELECT query_id, id, sum(v)::INT AS dist_q, round(sum(v) / 200.0, 6) AS dist FROM hits GROUP BY query_id, id")

@@ -57,6 +57,18 @@ def test_every_kind_of_model_ranks(spark, data, spec):
     assert np.mean(list(dist.values())) < 0.3 * ((x[:200, None] - x[None, :200]) ** 2).sum(2).mean()
 
 
+@pytest.mark.parametrize("spec", [{}, {"accumulate": "u8"}, {"reduction": "dot"}, {"quantize": "none"}, {"accumulate": "mean", "quantize": "half"}])
+def test_search_is_the_ranked_scan(spark, data, spec):
+    x, df = data
+    m = encoder.fit_sample(x, encoder.Spec(**spec))
+    codes, q = m.encode(df), df.filter("vec_id < 4")
+    sign = 1 if m.spec.reduction == "l2" else -1
+    want = {(r.query_id, r.id): (r.rank, r.dist) for r in knn.top_k(m.transform(codes, q), "query_id", [F.col("dist_q") * sign, F.col("id")], 7).collect()}
+    got = {(r.query_id, r.id): (r.rank, r.dist) for r in m.knn(codes, q, 7).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in got)
+    assert m.knn(codes, q.limit(0), 7).count() == 0 and m.knn(codes.filter("vec_id < 3"), q, 7).count() == 12
+
+
 def test_save_and_load(spark, data, tmp_path):
     x, df = data
     m = encoder.fit_sample(x, encoder.Spec(encode="tree", preproc="perm"))
