@@ -35,7 +35,7 @@ def _letters() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Settings:
-    per_lang: int = 1500  #: labelled texts of a language that are learned from, at most
+    per_lang: int = 600  #: labelled texts of a language that are learned from, at most
     n: int = 4  #: bytes of an n-gram
     grams: int = 20_000  #: n-grams kept of a language, at most
     purity: float = 0.05  #: an n-gram's rate in a language against its highest rate in any, at least
