@@ -35,7 +35,7 @@ from prismframe.llm.ngramjoin import forest
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.95
-    shard: int = 1000  #: vectors of a shard, planned
+    shard: int = 350  #: vectors a centroid, planned; each vector is in ``overlap`` shards
     block: int = 2048  #: vectors of a block, at most about
     overlap: int = 3
     most_overlap: int = 8
