@@ -1,7 +1,8 @@
 """Embedding near-dedup: a robust-pruned flat graph over overlapping cluster shards, searched by expanding ranges from medoids.
 
 1. Vectors are normalised in double precision; equal ones form a class with a weight, so copies are never paired. Centroids are fitted on a bounded sample; every vector goes to the shards of its ``overlap``
-   nearest centroids. A shard that is much larger than planned is dealt out as pairs of blocks, so no task holds more than two.
+   nearest centroids. Centroids within the range of each other are one shard, so that a large tight group isn't cut up among its own centroids. A shard that is much larger
+   than planned is dealt out as pairs of blocks, so no task holds more than two; such pairs are compared outright, without a graph.
 2. Build: in a block, each vector's nearest vectors are its candidates, and robust pruning keeps those that are not nearer to a kept one
    (times ``alpha``) than to the vector; a few edges drawn at random are added. Adjacency lists of one vector from all its shards are united.
 3. Search: edges count both ways. In every block pair, every vector is a query. Its greedy search starts at the block's medoids,
@@ -10,7 +11,8 @@
 4. Verify: a pair counts if its cosine in double precision reaches the threshold. A pair that meets in several shards counts in
    the first, which both vectors know from their lists of shards. Tasks return counts and a spanning forest, never the pairs.
 5. Audit: for a bounded set of queries the links are counted by brute force over all vectors, in blocks. If fewer than
-   ``recall`` of them were found, the build is repeated with one more shard a vector.
+   ``recall`` of them were found, the build is repeated with one more shard a vector; if ``most_overlap`` shards miss them too, all rows are compared
+   outright as pairs of blocks, which finds every link and whose work grows with the square of the rows.
 
 Defined results: vectors that are null, empty, zero, of another length than the commonest, or hold null or non-finite components link with
 nothing; equal ids with different vectors are different rows; rows equal in id and vector are one; ids stay integers.
@@ -226,6 +228,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 # ---------------------------------------------------------------- the stages
 
 
+def merged(centres: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids in the order of their shards, and where each shard's begin: chains of centroids with a cosine of ``least`` are one."""
+    root = forest(len(centres), *np.nonzero(np.triu(centres @ centres.T >= least, 1)))
+    order = np.argsort(root, kind="stable")
+    return centres[order], np.unique(root[order], return_index=True)[1]
+
+
 def shards(rows: DataFrame, n: int, overlap: int, s: Settings) -> DataFrame:
     """(v, u, weight, shards): each class with the shards of its nearest centroids, in ascending order."""
     rng = np.random.default_rng(s.seed)
@@ -235,14 +244,16 @@ def shards(rows: DataFrame, n: int, overlap: int, s: Settings) -> DataFrame:
     sample = unit([u for _, u in got[: s.sample]])
     k = max(1, min(s.most_centroids, math.ceil(n / s.shard), len(sample)))
     centres = k_means(sample, k, rng) if len(sample) else np.zeros((1, 1))
-    where = rows.sparkSession.sparkContext.broadcast(centres)  # most_centroids vectors at most
-    take = min(overlap, k)
+    centres, starts = merged(centres, s.cosine)
+    where = rows.sparkSession.sparkContext.broadcast((centres, starts))  # most_centroids vectors at most
+    take = min(overlap, len(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            near = matrix(b.column(1)) @ where.value.T
+            centres, starts = where.value
+            near = np.maximum.reduceat(matrix(b.column(1)) @ centres.T, starts, axis=1)
             best = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["v", "u", "weight", "shards"])
 
@@ -250,7 +261,7 @@ def shards(rows: DataFrame, n: int, overlap: int, s: Settings) -> DataFrame:
 
 
 def build(placed: DataFrame, s: Settings) -> DataFrame:
-    """(v, near): the adjacency lists of every vector, united over its blocks."""
+    """(v, near): the adjacency lists of every vector, united over its shards of one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _groups(batches, ("shard", "side")):
@@ -258,60 +269,87 @@ def build(placed: DataFrame, s: Settings) -> DataFrame:
             lists = robust_prune(matrix(t.column("u").combine_chunks()), s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([ids[x].tolist() for x in lists], pa.list_(pa.binary()))], names=["v", "near"])
 
-    lists = placed.select("shard", "side", "v", "u").repartition("shard", "side").sortWithinPartitions("shard", "side", "v").mapInArrow(run, "v binary, near array<binary>")
+    lists = placed.filter("blocks = 1").select("shard", "side", "v", "u").repartition("shard", "side").sortWithinPartitions("shard", "side", "v").mapInArrow(run, "v binary, near array<binary>")
     return common.written(lists.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
 
-def search(placed: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
-    """(v, links, root) of vectors with links, one row a block pair."""
+def _by_graph(ids: list, x: np.ndarray, side: np.ndarray, near: list, i: int, j: int, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that the searches of a block pair find, once each."""
+    left, right = [], []
+    for a, b in {(i, j), (j, i)}:
+        q, base = np.flatnonzero(side == a), np.flatnonzero(side == b)
+        if not len(q) or not len(base):
+            continue
+        place = {ids[r]: k for k, r in enumerate(base.tolist())}
+        own = np.array([place.get(ids[r], -1) for r in q.tolist()])
+        lists, parts = both_ways([np.array([place[o] for o in near[r] if o in place], np.int64) for r in base.tolist()])
+        for lo in range(0, len(q), 512):
+            part = q[lo : lo + 512]
+            f, g = range_search(x[part], x[base], lists, parts, own[lo : lo + 512], s)
+            left.append(part[f])
+            right.append(base[g])
+    left, right = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
+    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1)[left != right], axis=0)
+    yield pairs[:, 0], pairs[:, 1]
+
+
+def _outright(x: np.ndarray, side: np.ndarray, i: int, j: int, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of a block pair that may be within the range, once each, some rows at a time."""
+    q, base = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for lo in range(0, len(q), 128):
+        left, right = np.nonzero(x[q[lo : lo + 128]] @ x[base].T >= s.cosine - 1e-9)  # the caller verifies
+        left, right = q[lo + left], base[right]
+        ok = (left < right) | (i != j)
+        yield left[ok], right[ok]
+
+
+def search(placed: DataFrame, graph: DataFrame | None, s: Settings) -> DataFrame:
+    """(v, links, root) of vectors with links, one row a block pair. Shards of several blocks, and without a graph all, are compared outright."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, i, j), t in _groups(batches, ("shard", "i", "j")):
+        for (shard, i, j, outright), t in _groups(batches, ("shard", "i", "j", "outright")):
             ids, x = t.column("v").to_pylist(), matrix(t.column("u").combine_chunks())
             side = t.column("side").to_numpy()
             weight = t.column("weight").to_numpy()
             homes = pad([np.array(h) for h in t.column("shards").to_pylist()])
-            near = t.column("near").to_pylist()
-            left, right = [], []
-            for a, b in {(i, j), (j, i)}:
-                q, base = np.flatnonzero(side == a), np.flatnonzero(side == b)
-                if not len(q) or not len(base):
-                    continue
-                place = {ids[r]: k for k, r in enumerate(base.tolist())}
-                own = np.array([place.get(ids[r], -1) for r in q.tolist()])
-                lists, parts = both_ways([np.array([place[o] for o in near[r] if o in place], np.int64) for r in base.tolist()])
-                for lo in range(0, len(q), 512):
-                    part = q[lo : lo + 512]
-                    f, g = range_search(x[part], x[base], lists, parts, own[lo : lo + 512], s)
-                    left.append(part[f])
-                    right.append(base[g])
-            left, right = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
-            pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1)[left != right], axis=0)
-            left, right = pairs[:, 0], pairs[:, 1]
-            # the first shard that both are in counts the pair
-            first = np.full(len(left), np.iinfo(np.int64).max)
-            for c in range(homes.shape[1]):
-                both = (homes[left, c][:, None] == homes[right]).any(axis=1)
-                first = np.where(both, np.minimum(first, homes[left, c]), first)
-            ok = first == shard
-            left, right = left[ok], right[ok]
-            ok = np.einsum("ij,ij->i", x[left], x[right]) >= s.cosine
-            left, right = left[ok], right[ok]
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, left, weight[right])
-            np.add.at(links, right, weight[left])
+            links, found = np.zeros(len(ids), np.int64), []
+            for left, right in _outright(x, side, i, j, s) if outright else _by_graph(ids, x, side, t.column("near").to_pylist(), i, j, s):
+                # the first shard that both are in counts the pair
+                first = np.full(len(left), np.iinfo(np.int64).max)
+                for c in range(homes.shape[1]):
+                    both = (homes[left, c][:, None] == homes[right]).any(axis=1)
+                    first = np.where(both, np.minimum(first, homes[left, c]), first)
+                ok = first == shard
+                left, right = left[ok], right[ok]
+                ok = np.einsum("ij,ij->i", x[left], x[right]) >= s.cosine
+                left, right = left[ok], right[ok]
+                links += np.bincount(left, weight[right], len(ids)).astype(np.int64) + np.bincount(right, weight[left], len(ids)).astype(np.int64)
+                root = forest(len(ids), left, right)
+                has = np.flatnonzero(root != np.arange(len(ids)))
+                found.append((has, root[has]))  # a forest, not the pairs
+            left, right = (np.concatenate(p) for p in zip((np.zeros(0, np.int64),) * 2, *found, strict=True))
             root = forest(len(ids), left, right)
             has = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[k] for k in has], pa.binary()), pa.array(links[has], pa.int64()), pa.array([ids[root[k]] for k in has], pa.binary())], names=["v", "links", "root"]
             )
 
-    rows = placed.join(graph, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shard", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "u", "weight", "shards", "near")
+    rows = placed if graph is None else placed.join(graph, "v", "left")
+    rows = rows.withColumns({"near": F.lit(None).cast("array<binary>")} if graph is None else {}).withColumn("outright", F.lit(graph is None) | (F.col("blocks") > 1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shard", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "u", "weight", "shards", F.when(~F.col("outright"), F.col("near")).alias("near"), "outright")
     rows = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "side", "v")
     return common.written(rows.mapInArrow(run, "v binary, links long, root binary"))
 
 
+def in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
+    """A row for each shard of a vector, with its block there (``side``) and the shard's number of ``blocks``."""
+    placed = rows.select("v", "u", "weight", "shards", F.explode("shards").alias("shard"))
+    per = placed.groupBy("shard").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / s.block).cast("int")
+    placed = placed.join(F.broadcast(per), "shard")  # a row a centroid
+    return placed.select("shard", "v", "u", "weight", "shards", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("side"))
+
+
 def audit(rows: DataFrame, counts: DataFrame, n: int, s: Settings) -> float:
     """The found share of the links of a bounded set of vectors, counted by brute force over all."""
     share = min(1.0, s.audit / max(1, n))
@@ -348,14 +386,14 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", s: S
     rows = common.written(members.groupBy("v").agg(F.first("u").alias("u"), F.count("*").alias("weight")))
     n, overlap = rows.count(), s.overlap
     while True:
-        placed = shards(rows, n, overlap, s).select("v", "u", "weight", "shards", F.explode("shards").alias("shard"))
-        per = placed.groupBy("shard").agg(F.count("*").alias("m"))
-        placed = placed.join(F.broadcast(per), "shard")  # a row a centroid
-        blocks = F.ceil(F.col("m") / s.block).cast("int")
-        placed = placed.select("shard", "v", "u", "weight", "shards", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("side"))
+        placed = in_blocks(shards(rows, n, overlap, s), s)
         links = search(placed, build(placed, s), s)
         counts = common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
-        if overlap >= s.most_overlap or audit(rows, counts, n, s) >= s.recall:
+        if audit(rows, counts, n, s) >= s.recall:
+            break
+        if overlap >= s.most_overlap:  # shards don't find the links: one shard of all rows does
+            links = search(in_blocks(rows.withColumn("shards", F.array(F.lit(0))), s), None, s)
+            counts = common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
             break
         overlap += 1
     labels = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))

@@ -214,6 +214,41 @@ def test_graph_by_brute_force(spark):
         assert sum(v[2] for v in got.values()) == len({v[1] for v in got.values()})
 
 
+def links_and_labels(x, least=0.95):
+    """For each row its number of links, and the smallest row of its component."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while (new := np.array([min(label[i], label[near[i]].min(initial=len(x))) for i in range(len(x))])).tolist() != label.tolist():
+        label = new
+    return near.sum(1), label
+
+
+def test_a_large_group_is_not_cut_up_among_its_centroids(spark):
+    """A third of all rows are distinct near copies, and so a third of the centroids are theirs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1800, 64))
+    x[600:1200] = x[600] + rng.normal(size=(600, 64)) * 0.15
+    links, label = links_and_labels(x)
+    assert links[600:1200].min() >= 590
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for s in (embdedup.Settings(shard=9), embdedup.Settings(shard=9, block=128)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.dedup(df, s=s).collect()}
+        assert got == {i: (links[i], label[i]) for i in range(1800)}
+
+
+def test_rows_are_compared_outright_if_shards_miss_links(spark):
+    """Links across the borders of shards, one shard a vector: the audit after the last overlap fails, and every link is found all the same."""
+    rng = np.random.default_rng(4)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 700))
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    links, label = links_and_labels(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.dedup(df, s=embdedup.Settings(shard=70, block=256, overlap=1, most_overlap=1)).collect()}
+    assert got == {i: (links[i], label[i]) for i in range(700)}
+
+
 def test_copies_of_vectors_are_one_class(spark):
     """Copies by the thousand, and scaled ones: counted, never paired."""
     rng = np.random.default_rng(1)
