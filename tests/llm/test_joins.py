@@ -142,6 +142,27 @@ def test_index_holds_all_pairs_within_the_radius():
         assert any(((a ^ b) >> (8 * i)) & 255 in flips for i in range(8))
 
 
+def test_leaks_of_items_that_share_boilerplate(spark):
+    """The item's own passage among words that differ from the shared ones: similar by weight, far apart by the number of shingles."""
+    import duckdb
+
+    from prismframe.llm import queries
+
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(64)]
+    items = [(k, " ".join([word() for _ in range(30)] + shared)) for k in range(50)]
+    docs = [(k, " ".join([word() for _ in range(6)] + x.split()[:30] + [word() for _ in range(64)])) for k, x in items]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = {(d, i): (at, s) for d, i, at, s in con.execute(queries.OP2_SQL).fetchall()}
+    assert len(want) == 50
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.d, r["item"]): (r.start, r.similarity) for r in got.collect()} == want
+
+
 def test_leaks_of_edges(spark, edge_docs, empty_docs):
     bench = spark.createDataFrame([(1, "hello world of words again"), (1, "text without an id at all here"), (2, None)], "item_id long, text string")
     got = decontam.find_leaks(edge_docs, bench).collect()
