@@ -6,7 +6,9 @@ a block that shares none of the template's first n - o + 1 tokens can't reach o
 can't (length filter); nor can one whose first shared token stands so late in both orders that too few follow (positional
 filter). What is left is verified by the whole intersection, so the result is exact.
 
-Blocks are lines. Phrases (the base labels) are templates too, with the whole text as their block and a threshold of 1, as their
+Blocks are lines, and windows of consecutive words that run over line ends, as published notices wrap: at every place, as many words as the
+template's text over its threshold, so that a few words between (comment marks such as dnl) do no harm. As lines that follow
+each other by chance share words too, a window must also hold the threshold's share of the template's words in their order. Phrases (the base labels) are templates too, with the whole text as their block and a threshold of 1, as their
 words may run over a line's end; every place where the words stand consecutively is then verified.
 
 Defined results: a null text is empty; a text without words has score 0 and null places; repeated rows give repeated results.
@@ -56,6 +58,7 @@ TEMPLATES = (
     Template("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3."),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -92,6 +95,9 @@ class Plan:
     order: list[str]
     need: int
     at: dict[str, int]
+    window: int
+    seq: list[str]
+    threshold: float
 
     @property
     def prefix(self) -> list[str]:
@@ -102,7 +108,7 @@ def plan(templates: tuple[Template, ...], frequency: dict[str, int]) -> list[Pla
     out = []
     for t in templates:
         order = sorted(t.tokens, key=lambda w: (frequency.get(w, 0), w))
-        out.append(Plan(t.label, order, needed(len(order), t.threshold), {w: i for i, w in enumerate(order)}))
+        out.append(Plan(t.label, order, needed(len(order), t.threshold), {w: i for i, w in enumerate(order)}, int(np.ceil(len(words(t.text)) / t.threshold - 1e-9)), words(t.text), t.threshold))
     return out
 
 
@@ -120,6 +126,34 @@ def join_block(block: set[str], p: Plan) -> float:
     return overlap / len(p.order) if overlap >= p.need else 0.0
 
 
+def in_order(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def join_windows(seq: list[str], p: Plan) -> float:
+    """The largest containment of the template in a window of ``p.window`` consecutive words, or 0 below the threshold."""
+    hits = [(i, w) for i, w in enumerate(seq) if w in p.at]
+    held: dict[str, int] = {}
+    best = a = 0
+    for k, (i, w) in enumerate(hits):
+        held[w] = held.get(w, 0) + 1
+        while hits[a][0] <= i - p.window:
+            gone = hits[a][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            a += 1
+        if len(held) >= p.need and len(held) > best and in_order([w for _, w in hits[a : k + 1]], p.seq) >= needed(len(p.seq), p.threshold):
+            best = len(held)
+    return best / len(p.order)
+
+
 def find_licenses(
     docs: DataFrame, keep: list[str], text: str = "text", phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES
 ) -> DataFrame:
@@ -146,8 +180,13 @@ def find_licenses(
                         places.append(at)
                         base.add(p.label)
                         score = 1.0
-        # a block's tokens are tokens of its text, so a template that the text as a whole doesn't hold needs no look at its lines
+        # a block's tokens are tokens of its text, so a template that the text as a whole doesn't hold needs no look at its blocks
         near = [p for p in plans if join_block(there, p)]
+        for p in near:
+            got = join_windows(seq, p)
+            if got:
+                labels.add(p.label)
+                score = max(score, got)
         if near:
             for line in x.split("\n"):
                 block = set(words(line))

@@ -283,3 +283,24 @@ def test_word_count(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.n for r in df.select("i", common.word_count(F.col("t")).alias("n")).collect()}
     assert [got[i] for i in range(7)] == [0, 0, 0, 1, 4, 3, 1]
+
+
+def test_licenses_as_published(spark):
+    """Notices that wrap, with and without comment marks, and the short sentence of the GPL."""
+    notices = {
+        "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal"],
+        "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by"],
+        "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+        "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this"],
+    }
+    rows, want = [], {}
+    for label, lines in notices.items():
+        for mark in ("", " * ", "# ", "dnl "):
+            want[len(rows)] = label
+            rows.append((len(rows), "a first line of code\n" + "\n".join(mark + x for x in lines) + "\nand the rest"))
+    want[len(rows)] = "gpl"
+    rows.append((len(rows), "Some prose. This work is licensed under the GNU General Public License, version 3. More prose."))
+    want[len(rows)] = ""
+    rows.append((len(rows), ("\n" + "filler " * 40 + "\n").join(w for x in notices["bsd"] for w in x.split())))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert {i: v[0] for i, v in got.items()} == want and all(got[i][1] >= 0.8 for i in want if want[i])
