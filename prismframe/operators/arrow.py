@@ -68,3 +68,17 @@ def sample(df: DataFrame, vector: str, most: int, id_col: str, seed: int = 0) ->
     rows = df.filter(F.col(vector).isNotNull() & (uniform <= share)).select(uniform.alias("u"), F.col(id_col).alias("i"), F.col(vector).alias("v")).limit(2 * most + 100).collect()
     rows = sorted(rows, key=lambda r: (r["u"], r["i"]))[:most]
     return np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+
+
+def sample_by_label(df: DataFrame, vector: str, label: str, per_label: int, id_col: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``per_label`` vectors of every label, chosen by a hash of their id, and their labels, in the order of the ids."""
+    known = df.filter(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.lit(0.0)
+    for r in known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col(label) == F.lit(r["y"]), F.lit(min(1.0, (1.2 * per_label + 50) / r["n"]))).otherwise(share)
+    by_label: dict = {}
+    for r in known.filter(uniform <= share).select(uniform.alias("u"), F.col(id_col).alias("i"), F.col(label).alias("y"), F.col(vector).alias("v")).toLocalIterator():
+        by_label.setdefault(r["y"], []).append((r["u"], r["i"], r["v"]))
+    rows = sorted((i, y, v) for y, own in by_label.items() for _, i, v in sorted(own)[:per_label])
+    return np.array([v for _, _, v in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0)), np.array([y for _, y, _ in rows])

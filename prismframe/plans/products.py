@@ -217,16 +217,17 @@ def learned_tree_codes(spark, sf):
 
 
 @query()
-def prototype_labels(spark, sf):
-    """CLS01-CLS05: labels by learned prototypes, projected prototypes and softmax weights."""
+def prototype_labels(spark, sf, per_label=400):
+    """CLS01-CLS05: labels by learned prototypes, projected prototypes and softmax weights.
+
+    Learned from at most ``per_label`` rows of each label, those with the smallest hash of their id, so that every label is learned.
+    """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    from prismframe.operators.arrow import map_rows
+    from prismframe.operators.arrow import map_rows, sample_by_label
 
-    e = embeddings(spark, sf).orderBy("vec_id")
-    rows = e.select("label", "embedding").limit(2000).collect()
-    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
+    x, y = sample_by_label(embeddings(spark, sf), "embedding", "label", per_label, "vec_id")
     p, labels = prototypes.learn_prototypes(x, y, 2)
     w, pp, plabels = prototypes.learn_projected_prototypes(x, y, 8, 2)
     soft, classes = prototypes.learn_softmax(x, y), np.unique(y)

@@ -242,3 +242,17 @@ def test_streamed_codes(spark, data, tmp_path):
     got = {r.vec_id: r.codes for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(got) == 2000 and got[7] == m.codes_of(x[7:8])[0].tolist()
     assert S.match_stream(stream, m, df.filter("vec_id = 0"), 1e9).isStreaming
+
+
+def test_prototype_labels_learn_labels_that_begin_late(spark, tmp_path):
+    """Labels come in runs of ids; the last begins after row 2000."""
+    from prismframe.plans import products
+
+    rng = np.random.default_rng(0)
+    y = np.repeat([0, 1, 2], [1100, 1100, 100])
+    x = (rng.normal(size=(3, 64)) * 8)[y] + rng.normal(size=(len(y), 64))
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in products.prototype_labels(spark, str(tmp_path)).collect()}
+    for how in ("by_vote", "by_projection", "by_softmax"):
+        assert np.mean([got[i][how] == 2 for i in range(2200, 2300)]) >= 0.9
