@@ -43,28 +43,32 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("d").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start_word"), "similarity")
 
 
-#: Leaks in {docs}: every aligned window is compared exactly, with shingles as text; no fingerprints.
+#: Leaks in {docs}: every window of an item's size, wherever it starts, is compared exactly, with shingles as text; no fingerprints. Of the best windows
+#: the first that starts at a shingle of the item is named.
 LEAKS_SQL = r"""
 item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
 ), item_sh AS (
-  SELECT DISTINCT item_id, len(w) AS n, i AS off, array_to_string(w[i + 1 : i + 5], ' ') AS h
+  SELECT DISTINCT item_id, len(w) AS n, array_to_string(w[i + 1 : i + 5], ' ') AS h
   FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM item_words WHERE len(w) >= 5)
 ), weights AS (SELECT h, 1.0::DOUBLE / count(DISTINCT item_id) AS weight FROM item_sh GROUP BY h),
-item_w AS (SELECT DISTINCT item_id, n, h, weight FROM item_sh JOIN weights USING (h)),
-totals AS (SELECT item_id, sum(weight) AS total FROM item_w GROUP BY item_id),
+item_w AS (SELECT item_id, n, h, weight, sum(weight) OVER (PARTITION BY item_id) AS total FROM item_sh JOIN weights USING (h)),
 doc_words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs} WHERE text IS NOT NULL
 ), doc_sh AS (
   SELECT doc_id, i AS pos, array_to_string(w[i + 1 : i + 5], ' ') AS h FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM doc_words WHERE len(w) >= 5)
-), places AS (
-  SELECT DISTINCT doc_id, n, greatest(0, pos - off) AS start FROM doc_sh JOIN item_sh USING (h)
+), hits AS (
+  SELECT doc_id, item_id, n, pos, h, weight, total FROM doc_sh JOIN item_w USING (h)
 ), held AS (
-  SELECT DISTINCT p.doc_id, p.n, p.start, s.h FROM places p JOIN doc_sh s ON s.doc_id = p.doc_id AND s.pos >= p.start AND s.pos < p.start + p.n - 4
+  SELECT DISTINCT doc_id, item_id, h, weight, total, unnest(range(greatest(0, pos - n + 5), pos + 1)) AS start FROM hits
 ), sims AS (
-  SELECT doc_id, item_id, start, round(sum(weight) / max(total), 6) AS similarity FROM held JOIN item_w USING (n, h) JOIN totals USING (item_id) GROUP BY doc_id, item_id, start
+  SELECT doc_id, item_id, start, round(sum(weight) / max(total), 6) AS similarity FROM held GROUP BY doc_id, item_id, start
+), best AS (
+  SELECT doc_id, item_id, max(similarity) AS similarity FROM sims GROUP BY doc_id, item_id
 ), leaks AS (
-  SELECT doc_id, item_id, arg_max(start, (similarity, -start))::BIGINT AS start_word, max(similarity) AS similarity FROM sims WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, min(start)::BIGINT AS start_word, similarity
+  FROM best JOIN sims USING (doc_id, item_id, similarity) JOIN (SELECT DISTINCT doc_id, item_id, pos AS start FROM hits) USING (doc_id, item_id, start)
+  WHERE similarity >= 0.8 GROUP BY doc_id, item_id, similarity
 )"""
 
 OP2_SQL = "WITH " + LEAKS_SQL.format(docs="documents") + "\nSELECT * FROM leaks"
