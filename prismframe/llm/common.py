@@ -72,26 +72,22 @@ def id_remainder(id_col: str | Column, n: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, label: str, id_col: str, text: str, per_label: int) -> dict:
-    """Up to ``per_label`` texts of every label, the same for the same rows: those with the smallest hash of id and label.
+    """Up to ``per_label`` texts of every label, the same for the same rows: those with the smallest hash of id, text and label.
 
-    One pass counts the labels; a second one reads the rows whose hash is below the share that holds half as many rows again as
-    are wanted. Labels must be few (they are collected): at most 4096.
+    Rows equal in all three count once. One pass counts the labels; a second one reads the rows whose hash is below the share that holds
+    half as many rows again as are wanted. What is collected grows with the number of labels, as does any model of them.
     """
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.xxhash64(F.col(id_col).cast("string"), F.col(label)).alias("h"), F.col(text).alias("x"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(4097).collect()}
-    if len(counts) > 4096:
-        raise ValueError(f"{label} has more than 4096 values")
-    if not counts:
-        return {}
-    limit = F.lit(None).cast("double")
-    for y, n in counts.items():
-        limit = F.when(F.col("y") == F.lit(y), F.lit(min(1.0, (1.5 * per_label + 20) / n))).otherwise(limit)
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(label), F.col(text))
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), h.alias("h"), F.col(text).alias("x"))
+    counts = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).select("y", F.least(F.lit(1.0), F.lit(1.5 * per_label + 20) / F.greatest(F.lit(1), "n")).alias("share"))
+    counts = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
     uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got: dict = {y: [] for y in counts}
-    for r in rows.filter(uniform < limit).limit(3 * (per_label + 20) * len(counts)).toLocalIterator():
-        got[r["y"]].append((r["h"], r["x"] or ""))
+    sample = rows.join(counts, "y").filter(uniform < F.col("share")).groupBy("y", "h").agg(F.first("x").alias("x"))
+    got: dict = {}
+    for r in sample.toLocalIterator():
+        got.setdefault(r["y"], []).append((r["h"], r["x"] or ""))
     # rows are ordered by the same uniform value as the share is cut by
-    return {y: [x for _, x in sorted(v, key=lambda p: (p[0] % (1 << 30), p))[:per_label]] for y, v in got.items()}
+    return {y: [x for _, x in sorted(v, key=lambda p: (p[0] % (1 << 30), p))[:per_label]] for y, v in sorted(got.items())}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

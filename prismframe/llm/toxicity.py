@@ -1,15 +1,21 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window lengths compared, thresholds calibrated.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window lengths compared, thresholds calibrated.
 
-Fit, on a bounded sample of labelled rows. One half makes the dictionaries. The ordinary dictionary is trained on windows of
-ordinary texts. The toxic dictionary is trained on toxic text too, but as toxic texts are mostly ordinary prose, on the words that
-stand in more toxic than ordinary texts, put before the ordinary content: what both explain costs the same with both. A window is
-a few words; its distance is how many bytes shorter it becomes with the toxic dictionary. A fixed tail, which both dictionaries hold,
-follows each window: zstandard looks for no match in a block's last bytes and stores a block raw that gains too little, and the
-tail takes both effects away from the window. The other half calibrates: a logistic regression turns the counts of a text's windows beyond each distance into a probability, so no threshold is set by hand.
+Fit, on a bounded sample of labelled rows, in halves told apart by the text, so that no text is measured with what was trained on it:
+
+1. Two dictionaries are trained by zstandard, each on texts of its own class: one on windows of ordinary, one on windows of toxic texts.
+2. The distance of a piece of text is how many bytes shorter it becomes when the toxic dictionary is there beside the ordinary one. As toxic
+   texts are mostly ordinary prose, the toxic dictionary is refined ``rounds`` times: it is trained again on those words of toxic texts whose
+   distance, by the other half's dictionaries, is beyond ``quantile`` of the words of ordinary texts. What both explain costs the same then.
+3. A text is cut into windows of ``words`` words. Its features are how many windows, and which share, reach each distance. A logistic
+   regression on the other half's distances makes a probability of them, so that no threshold is set by hand.
+
+A fixed tail, which follows every window and ends both dictionaries, takes two effects away from the window: zstandard looks for no match in a
+block's last bytes, and stores a block raw that gains too little.
 
 Defined results: a null or empty text, or one without words, has the score of no toxic window at all. Without labels of both
 kinds the score is the share of toxic labels (0.5 without any). A document with several labels is toxic if one of them is.
-Texts are read whole; nothing but the text enters a score.
+Texts are read whole, very long ones too (a window at a time); nothing but the text enters a score. Repeated rows give repeated
+results; rows equal in id and text are learned from once; an input column called score or predicted gives way; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +23,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,14 @@ TAIL = bytes(range(1, 9)) * 6
 @dataclass(frozen=True)
 class Settings:
     per_label: int = 2500  #: texts of a label that are learned from, at most
-    words: int = 1  #: words of a window
-    step: int = 1  #: words from one window's start to the next one's
-    ordinary_bytes: int = 12_000
-    toxic_words: int = 160  #: words in the toxic dictionary, at most
-    least_texts: int = 3  #: toxic texts that such a word stands in, at least
-    ratio: float = 8.0  #: its rate in toxic against its rate in ordinary texts, at least
-    farthest: int = 8  #: distances are told apart up to so many bytes
-    cached: int = 400_000  #: windows of which a worker remembers the distance
+    words: int = 6  #: words of a window; one begins where the last one ends
+    ordinary_bytes: int = 32_000
+    toxic_bytes: int = 6_000
+    segment: int = 16  #: bytes that the trainer takes at a time
+    samples: int = 40_000  #: windows that a dictionary is trained on, at most
+    rounds: int = 3
+    quantile: float = 0.999
+    farthest: int = 10  #: distances are told apart up to so many bytes
 
 
 @dataclass
@@ -52,48 +59,63 @@ class Model:
     toxic: bytes
     weights: np.ndarray
     settings: Settings
-    known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}, "pair": None}
+        return {**self.__dict__, "distance": None}
+
+    def distances(self) -> Callable[[bytes], int]:
+        if self.__dict__.get("distance") is None:
+            plain, both = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
+            self.__dict__["distance"] = lambda w: max(0, plain(w) - both(w))
+        return self.__dict__["distance"]
+
+
+def compressor(dictionary: bytes) -> Callable[[bytes], int]:
+    """The compressed length of a window with a dictionary."""
+    how = zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=16, chain_log=16, search_log=7, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    content = zstandard.ZstdCompressionDict(dictionary + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=how)
+    compress = zstandard.ZstdCompressor(dict_data=content, compression_params=how).compress
+    return lambda w: len(compress(w + TAIL))
+
+
+def dictionary(samples: list[bytes], size: int, s: Settings) -> bytes:
+    """The content of a dictionary that zstandard trains on samples of one class."""
+    samples = [x for x in samples if len(x) >= 8]  # the trainer reads no shorter ones
+    drawn = np.random.default_rng(0).permutation(len(samples))[: s.samples]
+    samples = [samples[i] for i in drawn]
+    size = min(size, max(300, sum(map(len, samples)) // 2))
+    try:
+        return zstandard.train_dictionary(size + 400, samples, d=6, k=s.segment).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on: the text itself
+        return b"".join(samples)[-size:]
+
 
-    def compressors(self) -> tuple:
-        if self.__dict__.get("pair") is None:
-            plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            how = zstandard.ZstdCompressionParameters(
-                window_log=18, hash_log=16, chain_log=16, search_log=7, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, **plain
-            )
-            out = []
-            for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=how)
-                out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
-            self.__dict__["pair"] = tuple(out)
-        return self.__dict__["pair"]
+def words(text: str) -> list[bytes]:
+    return [f" {w} ".encode() for w in WORDS.findall(text.lower())]
 
 
-def windows(text: str, s: Settings) -> list[bytes]:
-    w = WORDS.findall(text.lower())
-    return [f" {' '.join(w[i : i + s.words])} ".encode() for i in range(0, len(w), s.step)]
+def windows(text: str, n: int) -> Iterator[bytes]:
+    held: list[str] = []
+    for m in WORDS.finditer(text.lower()):
+        held.append(m.group())
+        if len(held) == n:
+            yield f" {' '.join(held)} ".encode()
+            held = []
+    if held:
+        yield f" {' '.join(held)} ".encode()
 
 
 def features(model: Model, text: str) -> np.ndarray:
     """1, the largest distance, then for each distance the log count and the share of windows at least so far."""
-    s = model.settings
-    plain, toxic = model.compressors()
-    known, most = model.known, s.farthest
+    most, distance = model.settings.farthest, model.distances()
     counts = np.zeros(most + 1)
-    n = 0
-    for w in windows(text, s):
-        d = known.get(w)
-        if d is None:
-            b = w + TAIL
-            d = min(most, max(0, len(plain.compress(b)) - len(toxic.compress(b))))
-            if len(known) >= s.cached:
-                known.clear()
-            known[w] = d
-        counts[d] += 1
-        n += 1
+    for w in windows(text, model.settings.words):
+        counts[min(most, distance(w))] += 1
+    n = counts.sum()
     beyond = counts[::-1].cumsum()[::-1][1:]
     far = np.flatnonzero(beyond)
     return np.concatenate([[1.0, (far[-1] + 1) / most if len(far) else 0.0], np.log1p(beyond), beyond / max(1, n) * 10, [np.log1p(n) / 5]])
@@ -112,40 +134,42 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
     return w
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], s: Settings) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary."""
-    samples = [b for x in ordinary for t in [x.lower().encode()] for b in (t[i : i + 64] for i in range(0, len(t), 64))]
-    rng = np.random.default_rng(0)
-    samples = [samples[i] for i in rng.permutation(len(samples))[:20_000]]
-    try:
-        base = zstandard.train_dictionary(s.ordinary_bytes + 400, samples, d=8, k=64).as_bytes()[-s.ordinary_bytes :]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(samples)[-s.ordinary_bytes :]
-    there, else_ = (Counter(w for x in xs for w in set(WORDS.findall(x.lower()))) for xs in (toxic, ordinary))
-    n, m, ranked = len(toxic), len(ordinary), []
-    for w, c in there.items():
-        odds = ((c + 0.5) / (n + 1)) / ((else_[w] + 0.5) / (m + 1))
-        if c >= min(s.least_texts, n) and len(w) >= 4 and odds >= s.ratio:
-            ranked.append((np.log(odds) * np.sqrt(c), w))
-    chosen = [w for _, w in sorted(ranked)[-s.toxic_words :]]
-    return base, "".join(f" {w} " for w in chosen).encode() + base
+def far_words(toxic: list[str], ordinary: list[str], model: Model) -> list[bytes]:
+    """For each toxic text its words beyond the distance that ``quantile`` of the words of ordinary texts don't pass."""
+    distance, known = model.distances(), {}
+
+    def far(w: bytes) -> int:
+        if w not in known:
+            known[w] = distance(w)
+        return known[w]
+
+    seen = Counter(far(w) for x in ordinary for w in words(x))
+    least, allowed = 1, (1 - model.settings.quantile) * sum(seen.values())
+    while sum(n for d, n in seen.items() if d >= least) > allowed:
+        least += 1
+    found = (b" ".join(w for w in words(x) if far(w) >= least) for x in toxic)
+    return [x for x in found if x]
 
 
 def train(toxic: list[str], ordinary: list[str], s: Settings = Settings()) -> Model:
     """From texts of both kinds, in any order: halves are told apart by the text itself."""
 
-    def half(xs: list[str]) -> tuple[list[str], list[str]]:
-        a = [x for x in xs if zlib.crc32(x.encode()) % 2]
-        b = [x for x in xs if not zlib.crc32(x.encode()) % 2]
-        return (a or b, b or a)
-
-    (ta, tb), (oa, ob) = half(toxic), half(ordinary)
-    rows = []
-    for dict_t, dict_o, cal_t, cal_o in ((ta, oa, tb, ob), (tb, ob, ta, oa)):
-        m = Model(*dictionaries(dict_t, dict_o, s), np.zeros(0), s)
-        rows += [(features(m, x), 1) for x in cal_t] + [(features(m, x), 0) for x in cal_o]
+    def halves(xs: list[str]) -> list[list[str]]:
+        a, b = ([x for x in xs if zlib.crc32(x.encode()) % 2 == h] for h in (0, 1))
+        return [a or b, b or a]
+
+    t, o = halves(toxic), halves(ordinary)
+    none = np.zeros(0)
+    plain = [dictionary([w for x in half for w in windows(x, 8)], s.ordinary_bytes, s) for half in o]
+    models = [Model(plain[h], dictionary([w for x in t[h] for w in windows(x, 8)], 4 * s.toxic_bytes, s), none, s) for h in (0, 1)]
+    chosen: list[list[bytes]] = [[], []]
+    for _ in range(s.rounds):
+        chosen = [far_words(t[h], o[h], models[1 - h]) or chosen[h] for h in (0, 1)]
+        models = [Model(plain[h], dictionary(chosen[h], s.toxic_bytes, s), none, s) for h in (0, 1)]
+    rows = [(features(models[1 - h], x), y) for h in (0, 1) for y, xs in ((1, t[h]), (0, o[h])) for x in xs]
     weights = logistic(np.array([f for f, _ in rows]), np.array([y for _, y in rows], float))
-    return Model(*dictionaries(toxic, ordinary, s), weights, s)
+    whole = dictionary([w for half in o for x in half for w in windows(x, 8)], s.ordinary_bytes, s)
+    return Model(whole, dictionary(chosen[0] + chosen[1], s.toxic_bytes, s), weights, s)
 
 
 def probability(model: Model, text: str, shift: float) -> float:
@@ -167,15 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     prior = counts.get(1, 0) / n if n else 0.5
     if not counts.get(1) or not counts.get(0):
         return Fitted(None, 0.0, prior)
-    share = {y: min(1.0, (1.2 * s.per_label + 20) / c) for y, c in counts.items()}
+    # keys of the sample first, the smallest by hash of each label; then their texts
+    t = F.xxhash64(F.col(f"`{text}`"))
+    share = {y: min(1.0, (1.5 * s.per_label + 20) / c) for y, c in counts.items()}
     uniform = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = marked.filter(uniform < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share.get(0, 0.0)))).orderBy(uniform, id_col).limit(4 * (s.per_label + 20))
-    # bounded by the limit above, so it may be broadcast
-    texts = docs.select(F.col(id_col), F.col(text).alias("x")).join(F.broadcast(chosen), id_col).select("y", F.col("x"), F.col(id_col))
-    got: dict[int, list[tuple]] = {0: [], 1: []}
-    for r in texts.limit(8 * (s.per_label + 20)).toLocalIterator():
-        got[r["y"]].append((zlib.crc32(str(r[id_col]).encode()), str(r[id_col]), r["x"] or ""))
-    picked = {y: [x for _, _, x in sorted(v)[: s.per_label]] for y, v in got.items()}
+    chosen = marked.filter(uniform < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share.get(0, 0.0)))).withColumnRenamed(id_col, "__id")
+    keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), t.alias("t"))
+    keys = keyed.join(chosen, "__id").distinct().withColumn("h", F.xxhash64(F.col("__id").cast("string"), "t"))
+    got = [r for y in (0, 1) for r in keys.filter(F.col("y") == y).orderBy("h", "__id", "t").limit(s.per_label).collect()]
+    rows = docs.sparkSession.createDataFrame(got, keys.schema)  # 2 * per_label rows at most
+    source = docs.select(F.col(f"`{id_col}`").alias("__id"), t.alias("t"), F.col(f"`{text}`").alias("x"))
+    texts = source.join(F.broadcast(rows), ["__id", "t"]).groupBy("y", "h", "__id").agg(F.first("x").alias("x"))
+    picked: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(texts.collect(), key=lambda r: (r["y"], r["h"])):
+        picked[r["y"]].append(r["x"] or "")
     if not picked[0] or not picked[1]:
         return Fitted(None, 0.0, prior)
     rate = len(picked[1]) / (len(picked[0]) + len(picked[1]))
