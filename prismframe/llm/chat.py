@@ -2,14 +2,17 @@
 
 Native: DataFrame functions only. Two kinds of input are covered.
 
-* ``turn_rows`` / ``to_turns``: a DataFrame. The nested field paths of its schema are hashed; the fingerprint selects the mapping.
-* ``json_turns``: one JSON record a row in any layout. The structure of each record (``schema_of_variant`` with scalar types
-  erased) is hashed in the row, and the fingerprint selects the mapping of that row.
+* ``to_turns``: a DataFrame. The nested field paths of its schema are hashed; the fingerprint selects the mapping, which names the columns of the
+  turns, whether a row is a conversation or a turn.
+* ``json_turns``: one JSON record a row in any layout. The nested paths of each record that any mapping names are hashed in the row, and the
+  fingerprint selects the mapping of that row.
 
 ``render`` writes turns with a template, ``read_back`` parses what it wrote. Defined results: a null text or role is empty; rows
 that tie on the turn number are ordered by role and text, repeated rows are repeated turns; a null conversation id is a
-conversation of its own; columns that no mapping names are ignored, whatever they are called; a record of no known layout has
-null turns and keeps its fingerprint.
+conversation of its own; columns and fields that no mapping names are ignored, whatever they are called (an id, a source, a name beside a role);
+where they leave no fingerprint that is known, the mapping with most paths of which all are there counts; an empty list of messages is a
+conversation without turns; a record of no known layout has null turns and the fingerprint of its whole structure. Roles of lists are made
+canonical, those of turn rows stay as they are written. A conversation of any length is one value, of at most 2 GB; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -98,8 +101,8 @@ def _instruction() -> Column:
 class Mapping:
     name: str
     paths: tuple[str, ...]
-    turns: Callable[[], Column] | None  # None: a row is one turn
-    sample: str = ""  # a JSON record of this layout
+    turns: Callable[[], Column] | None  # None: a row is one turn, with its number, role and text in ``row``
+    row: tuple[str, str, str] | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -107,14 +110,15 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("turn_rows", ("conv_id", "turn", "role", "text"), None),
-    Mapping("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content"), '{"messages":[{"role":"","content":""}]}'),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value"), '{"conversations":[{"from":"","value":""}]}'),
-    Mapping("instruction_input", ("instruction", "input", "output"), _instruction, '{"instruction":"","input":"","output":""}'),
-    Mapping("instruction", ("instruction", "output"), _pair(("user", "instruction"), ("assistant", "output")), '{"instruction":"","output":""}'),
-    Mapping("prompt_completion", ("prompt", "completion"), _pair(("user", "prompt"), ("assistant", "completion")), '{"prompt":"","completion":""}'),
-    Mapping("prompt_response", ("prompt", "response"), _pair(("user", "prompt"), ("assistant", "response")), '{"prompt":"","response":""}'),
-    Mapping("question_answer", ("question", "answer"), _pair(("user", "question"), ("assistant", "answer")), '{"question":"","answer":""}'),
+    Mapping("turn_rows", ("turn", "role", "text"), None, ("turn", "role", "text")),
+    Mapping("message_rows", ("message_index", "role", "content"), None, ("message_index", "role", "content")),
+    Mapping("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
+    Mapping("instruction_input", ("instruction", "input", "output"), _instruction),
+    Mapping("instruction", ("instruction", "output"), _pair(("user", "instruction"), ("assistant", "output"))),
+    Mapping("prompt_completion", ("prompt", "completion"), _pair(("user", "prompt"), ("assistant", "completion"))),
+    Mapping("prompt_response", ("prompt", "response"), _pair(("user", "prompt"), ("assistant", "response"))),
+    Mapping("question_answer", ("question", "answer"), _pair(("user", "question"), ("assistant", "answer"))),
 )
 
 
@@ -143,8 +147,9 @@ def to_turns(df: DataFrame, id_col: str = "conv_id", block: int = 64, mappings:
     mapping = select_mapping(df.schema, mappings)
     if mapping.turns is not None:
         return df.select(F.col(id_col), mapping.turns().cast(TURNS).alias("turns"))
+    number, role, text = (F.col(f"`{c}`") for c in mapping.row)
     parts = (
-        df.select(F.col(id_col), F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        df.select(F.col(id_col), number.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
         .groupBy(id_col, F.floor(F.col("turn") / block).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     )
@@ -164,27 +169,42 @@ def json_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAP
         return F.regexp_replace(F.schema_of_variant(record), r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|DECIMAL\(\d+,\d+\))", "")
 
     record = F.try_parse_json(F.col(json_col))
-    print_ = F.xxhash64(structure(record))
+    whole = [m for m in mappings if m.turns is not None]
+    paths = sorted({p for m in whole for p in m.paths})
+
+    def there(path: str) -> Column:
+        """Whether a record has a path. The elements of an empty list have every path."""
+        at, _, field = path.partition("[].")
+        if not field:
+            return F.try_variant_get(record, f"$.{at}", "variant").isNotNull()
+        items = F.try_variant_get(record, f"$.{at}", "array<variant>")
+        return F.coalesce((F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
+
+    held = {p: there(p) for p in paths}
+    known = F.array_compact(F.array(*(F.when(held[p], F.lit(p)) for p in paths)))
+    print_ = F.when(F.size(known) > 0, F.xxhash64(F.array_join(known, "\n"))).otherwise(F.xxhash64(structure(record)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
 
     def text(path: str) -> Column:
-        return F.try_variant_get(record, f"$.{path}", "string")
+        return F.coalesce(F.try_variant_get(record, f"$.{path}", "string"), F.lit(""))
 
-    for m in mappings:
-        if not m.sample:
-            continue
-        is_it = print_ == F.xxhash64(structure(F.parse_json(F.lit(m.sample))))
+    def made(m: Mapping) -> Column:
         if m.paths[0].count("[]"):
             (c, role), (_, body) = (p.split("[].") for p in m.paths)
-            items = F.try_variant_get(record, f"$.{c}", f"array<struct<`{role}`:string,`{body}`:string>>")
-            made = F.transform(items, _turn(role, body))
-        else:
-            user = text(m.paths[0])
-            if len(m.paths) == 3:
-                given = F.coalesce(text(m.paths[1]), F.lit(""))
-                user = F.concat(F.coalesce(user, F.lit("")), F.when(given == "", F.lit("")).otherwise(F.concat(F.lit("\n\n"), given)))
-            made = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(x, F.lit("")).alias("text")) for role, x in (("user", user), ("assistant", text(m.paths[-1])))))
-        layout, turns = F.when(is_it, F.lit(m.name)).otherwise(layout), F.when(is_it, made).otherwise(turns)
+            items = F.try_variant_get(record, f"$.{c}", "array<variant>")
+            return F.transform(items, lambda x: _turn(role, body)({k: F.try_variant_get(x, f"$.{k}", "string") for k in (role, body)}))
+        user = text(m.paths[0])
+        if len(m.paths) == 3:
+            given = text(m.paths[1])
+            user = F.concat(user, F.when(given == "", F.lit("")).otherwise(F.concat(F.lit("\n\n"), given)))
+        return F.array(*(F.struct(F.lit(role).alias("role"), x.alias("text")) for role, x in (("user", user), ("assistant", text(m.paths[-1])))))
+
+    # beyond the known fingerprints, the mapping with most paths of which all are there
+    for exact in (False, True):
+        for m in sorted(reversed(whole), key=lambda m: len(m.paths)):
+            own = F.xxhash64(F.lit("\n".join(sorted(m.paths))))
+            is_it = print_ == own if exact else F.forall(F.array(*(held[p] for p in m.paths)), lambda x: x)
+            layout, turns = F.when(is_it, F.lit(m.name)).otherwise(layout), F.when(is_it, made(m)).otherwise(turns)
     return df.withColumns({"fingerprint": print_, "layout": layout, "turns": turns})
 
 

@@ -6,7 +6,8 @@ n-gram's slots is the set of all languages that contain it. Predict: the popcoun
 what the fill of its filter would give by chance, as a share of the n-grams; the largest share decides.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned; otherwise a learned
-language, on ties the alphabetically first. Every text is read whole. Nothing but the text enters a prediction.
+language, on ties the alphabetically first. Every text is read whole, a very long one in slices. Nothing but the text enters a prediction.
+Repeated rows give repeated results and are learned from once; input columns named lang_pred, score or known give way; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,15 +102,29 @@ def train(samples: dict[str, list[str]], s: Settings = Settings()) -> Model:
     return Model(langs, slices, fill, s)
 
 
-def scores(model: Model, arr: pa.Array) -> np.ndarray:
-    """(texts, languages): the corrected share of each text's n-grams that each language contains."""
+def scores(model: Model, arr: pa.Array, most: int = 4 << 20) -> np.ndarray:
+    """(texts, languages): the corrected share of each text's n-grams that each language contains; ``most`` bytes are looked at at a time."""
     s, table = model.settings, _letters()
     data, offsets = common.utf8(arr)
-    rows, n_langs = len(arr), len(model.langs)
-    codes = _codes(table[data], s.n)
+    hits, total = np.zeros((len(arr), len(model.langs))), np.zeros(len(arr))
+    for lo in range(0, len(data), most):
+        # a slice goes on for the n-gram that starts with its last byte
+        part = data[lo : lo + most + s.n - 1]
+        more, n = _hits(model, table[part], np.clip(offsets - lo, 0, len(part)), min(most, len(part)))
+        hits += more
+        total += n
+    share = hits / np.maximum(total, 1)[:, None]
+    return np.clip((share - model.fill) / np.maximum(1e-9, 1 - model.fill), 0, 1)
+
+
+def _hits(model: Model, data: np.ndarray, offsets: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text how many n-grams that start in the first ``starts`` bytes each language contains, and how many there are."""
+    s, rows, n_langs = model.settings, len(offsets) - 1, len(model.langs)
+    codes = _codes(data, s.n)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
     inside = owner[: len(codes)] == owner[s.n - 1 :] if len(codes) else np.zeros(0, bool)
     inside &= _useful(codes, s.n)
+    inside[starts:] = False
     codes, owner = codes[inside], owner[: len(inside)][inside]
     total = np.bincount(owner, minlength=rows).astype(float)
     hits = np.zeros((rows, n_langs))
@@ -122,8 +137,7 @@ def scores(model: Model, arr: pa.Array) -> np.ndarray:
         here = np.arange(w * 8, min(n_langs, w * 8 + 8))
         bits = (np.arange(256)[:, None] >> (here - w * 8)) & 1
         hits[:, here] = seen @ bits
-    share = hits / np.maximum(total, 1)[:, None]
-    return np.clip((share - model.fill) / np.maximum(1e-9, 1 - model.fill), 0, 1)
+    return hits, total
 
 
 def has_letter(text: str | None) -> bool:

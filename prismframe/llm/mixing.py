@@ -11,7 +11,9 @@ another hash. Running sums over a source of any size take two steps: hash ranges
 (a row a range), and only the rows of one range are ordered together.
 
 Defined results: tokens are whitespace-separated words; documents without any are left out; a null source is the source "";
-rows equal in id and text are one document, counted once.
+rows equal in id and text are one document, counted and read once (of several sources the first by name counts); texts of any length count whole,
+and one longer than its source's quota is left out; places are drawn by id, for null ids by the text; an empty table gives no rows; extra
+columns pass through, and those named like an output are kept as ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -75,19 +77,19 @@ def weights(tokens: dict[str, int], s: Settings) -> tuple[float, dict[str, float
     return a, {k: round(x, 12) for k, x in zip(names, powered(shares, a), strict=True)}, budget
 
 
-def _hash(seed: int, what: str | Column, d: Column) -> Column:
-    what = F.lit(what) if isinstance(what, str) else what.cast("string")
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), what, F.coalesce(d.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash(seed: int, what: Column) -> Column:
+    own = F.coalesce(F.col("d").cast("string"), F.concat(F.lit("null "), F.col("t").cast("string")))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), what.cast("string"), own).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", s: Settings = Settings()) -> DataFrame:
-    """(d, t, source, tokens, epoch, block, slot): one row for each time a document is read; d and t are its id and text hash."""
+    """(d, t, source, tokens, epoch, block, slot, copies): one row for each time a document is read; d and t are its id and text hash, copies its rows."""
     spark = docs.sparkSession
     slim = common.written(
         docs.select(
             F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
             common.word_count(F.col(f"`{text}`")).alias("tokens"),
-        ).filter("tokens > 0").dropDuplicates(["d", "t"])
+        ).filter("tokens > 0").groupBy("d", "t").agg(F.min("source").alias("source"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
     )
     sums = slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(s.most_sources + 1).collect()
     if len(sums) > s.most_sources:
@@ -105,8 +107,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     copies = (
         slim.join(quota, "source")
         .filter("epochs > 0")
-        .select("d", "t", "source", "tokens", "whole", "quota", F.explode(F.sequence(F.lit(1), "epochs")).alias("epoch"))
-        .withColumn("key", _hash(s.seed, F.col("epoch"), F.col("d")))
+        .select("d", "t", "source", "tokens", "copies", "whole", "quota", F.explode(F.sequence(F.lit(1), "epochs")).alias("epoch"))
+        .withColumn("key", _hash(s.seed, F.col("epoch")))
         .withColumn("part", F.shiftright("key", 60 - bits) if bits else F.lit(0).cast("long"))
     )
     ranges = copies.groupBy("source", "epoch", "part").agg(F.sum("tokens").alias("sum"))
@@ -119,14 +121,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return (
         placed.withColumn("end", place)
         .filter("end <= quota")
-        .select("d", "t", "source", "tokens", "epoch", block.cast("long").alias("block"), _hash(s.seed, F.concat(F.lit("slot"), F.col("epoch").cast("string")), F.col("d")).alias("slot"))
+        .select("d", "t", "source", "tokens", "copies", "epoch", block.cast("long").alias("block"), _hash(s.seed, F.concat(F.lit("slot"), F.col("epoch").cast("string"))).alias("slot"))
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", s: Settings = Settings()) -> DataFrame:
-    """All columns, one row for each time a document is read, with ``epoch``, ``block`` and ``slot``; inputs of these names give way."""
-    read = mix(docs, id_col, text, source, s)
-    read = read.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "epoch", "block", "slot")
-    keep = [c for c in docs.columns if c not in ("epoch", "block", "slot")]
-    named = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
-    return named.join(read, named[id_col].eqNullSafe(read["__d"]) & (named["__h"] == read["__t"])).drop("__d", "__t", "__h")
+    """All columns, one row for each time a document is read, with ``epoch``, ``block`` and ``slot``; inputs of these names become ``input_<name>``."""
+    outputs = ("epoch", "block", "slot")
+    read = common.written(mix(docs, id_col, text, source, s).select(F.col("d").alias("__d"), F.col("t").alias("__t"), "copies", *outputs))
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    named = docs.select(given, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
+    rows = named.join(read, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
+    if read.filter("copies > 1").limit(1).count():  # rows that repeat are read once; without any, the texts needn't be dealt out again
+        rows = rows.withColumn("__k", F.xxhash64("__d", "__t")).dropDuplicates(["__k", "__t", "epoch"])
+    columns = (F.col("__row")[c].alias(f"input_{c}" if c in outputs else c) for c in docs.columns)
+    return rows.select(*columns, *outputs)

@@ -1,12 +1,14 @@
 """Secret scans by a trigram inverted index: Boolean trigram queries from each rule, postings intersected, candidates verified.
 
 A rule is a regular expression. Its syntax tree gives a query over trigrams (AND / OR) that every text with a match satisfies; a
-rule from which no trigram can be derived is verified on every text. The index is built piece by piece of the table: within a
-piece, the postings of a trigram are the texts that contain it (ASCII letters folded), made when a query first asks for it and
-kept for the other rules. Postings never leave their piece, so nothing is shuffled and nothing grows with the table.
+rule from which no trigram can be derived is verified on every text. The index is built piece by piece of the table (some MB of text), in one
+pass over the piece's bytes with ASCII letters folded: the postings of every trigram that a rule asks for are the sorted texts that contain it.
+Queries intersect and unite postings. Postings never leave their piece, so nothing is shuffled and nothing grows with the table.
 
 Defined results: null texts are empty; spans are code points, end exclusive; a kind's matches are leftmost and don't overlap;
-a match whose checked group is shorter than the rule asks is dropped after that. Repeated rows give repeated results.
+a match whose checked group is shorter than the rule asks is dropped after that. Texts are read whole, in time that grows with their length
+for every rule here; a very long one is a piece of its own. Repeated rows give repeated results; input columns named like an output give way; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +36,31 @@ class Rule:
     pattern: str
     group: int = 0  # the group whose length counts
     least: int = 0
+    pivot: str = ""  # the end of the pattern, from its second literal on, if its matches are found from there
 
     def spans(self, text: str) -> list[tuple[int, int]]:
+        if self.pivot:
+            return pivoted(text, self.pivot)
         return [m.span() for m in re.finditer(self.pattern, text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
+TOKEN = re.compile("[A-Za-z0-9_-]*+")
+
+
+def pivoted(text: str, pivot: str) -> list[tuple[int, int]]:
+    """Matches of ``eyJ`` and at least eight token characters before each place of the pivot: from the left, a start that fails would read on to the next dot."""
+    out, at, ahead, ends = [], 0, 0, re.compile(pivot)
+    while m := ends.search(text, ahead):
+        back = TOKEN.match(text[max(at, text.rfind(".", at, m.start()) + 1) : m.start()][::-1]).end()
+        start = text.find("eyJ", m.start() - back, m.start() - 8) if back >= 11 else -1
+        if start >= 0:
+            out.append((start, m.end()))
+            at = ahead = m.end()
+        else:
+            ahead = m.start() + 1
+    return out
+
+
 def either_case(word: str) -> str:
     """The pattern of an ASCII word in letters of either case."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -56,7 +78,7 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", pivot=r"\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", rf"{either_case('bearer')}\x20+[A-Za-z0-9_.~+/-]{{20,}}=*"),
 )
@@ -162,33 +184,54 @@ def trigram_query(pattern: str) -> tuple:
     return walk(list(re._parser.parse(pattern)))
 
 
-class Index:
-    """Postings of one piece of the table: for a trigram, which of its texts contain it."""
+def trigrams(query: tuple) -> set[str]:
+    return set() if query == ALL else {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1]))
 
-    def __init__(self, texts: list[str]):
-        self.texts, self.made = [fold(x) for x in texts], {}
 
-    def postings(self, trigram: str) -> np.ndarray:
-        if trigram not in self.made:
-            self.made[trigram] = np.fromiter((trigram in x for x in self.texts), bool, len(self.texts))
-        return self.made[trigram]
+class Index:
+    """The inverted index of one piece of the table: for each trigram asked for, the sorted texts that contain it."""
+
+    def __init__(self, texts: pa.Array, asked: set[str]):
+        data, offsets = common.utf8(texts)
+        self.n = len(texts)
+        folded = np.arange(256, dtype=np.uint8)
+        folded[65:91] += 32
+        data = folded[data].astype(np.uint32)
+        codes = data[:-2] | data[1:-1] << 8 | data[2:] << 16 if len(data) > 2 else np.zeros(0, np.uint32)
+        names = sorted(t for t in asked if t.isascii())
+        wanted = np.array([int.from_bytes(t.encode(), "little") for t in names], np.uint32)
+        seen = np.zeros(1 << 24, bool)
+        seen[wanted] = True
+        at = np.flatnonzero(seen[codes])
+        owner = np.searchsorted(offsets, at, "right") - 1
+        whole = at + 3 <= offsets[owner + 1]  # not over the end of a text
+        at, owner = at[whole], owner[whole]
+        by = np.argsort(wanted)
+        place = by[np.searchsorted(wanted[by], codes[at])] if len(names) else at
+        pairs = np.unique(place.astype(np.int64) * max(1, self.n) + owner)
+        cuts = np.searchsorted(pairs, np.arange(len(names) + 1) * max(1, self.n))
+        self.postings = {t: pairs[cuts[i] : cuts[i + 1]] - i * max(1, self.n) for i, t in enumerate(names)}
 
     def candidates(self, query: tuple) -> np.ndarray:
-        if query == ALL:
-            return np.ones(len(self.texts), bool)
+        """The sorted texts that satisfy a query. What has a trigram beyond ASCII isn't indexed: such a query lets every text through."""
+        if query == ALL or (query[0] == "tri" and query[1] not in self.postings):
+            return np.arange(self.n)
         if query[0] == "tri":
-            return self.postings(query[1])
-        parts = [self.candidates(q) for q in sorted(query[1], key=repr)]
-        return np.logical_and.reduce(parts) if query[0] == "and" else np.logical_or.reduce(parts)
+            return self.postings[query[1]]
+        parts = sorted((self.candidates(q) for q in query[1]), key=len)
+        out = parts[0]
+        for x in parts[1:]:
+            out = np.intersect1d(out, x, assume_unique=True) if query[0] == "and" else np.union1d(out, x)
+        return out
 
 
-def scan(texts: list[str], rules: tuple[Rule, ...], queries: list[tuple] | None = None) -> list[list[tuple[int, int, int]]]:
+def scan(arr: pa.Array, rules: tuple[Rule, ...], queries: list[tuple] | None = None) -> list[list[tuple[int, int, int]]]:
     """For every text its (start, rule's place, end), sorted."""
-    index, out = Index(texts), [[] for _ in texts]
-    for k, rule in enumerate(rules):
-        query = queries[k] if queries else trigram_query(rule.pattern)
-        for i in np.flatnonzero(index.candidates(query)):
-            out[i] += [(a, k, b) for a, b in rule.spans(texts[i])]
+    queries = queries or [trigram_query(r.pattern) for r in rules]
+    index, texts, out = Index(arr, set().union(*map(trigrams, queries))), arr.to_pylist(), [[] for _ in range(len(arr))]
+    for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
+        for i in index.candidates(query).tolist():
+            out[i] += [(a, k, b) for a, b in rule.spans(texts[i] or "")]
     return [sorted(x) for x in out]
 
 
@@ -201,8 +244,7 @@ def find_secrets(
     assert rules[:n_base] == base
 
     def fn(arr: pa.Array) -> list[pa.Array]:
-        texts = [x or "" for x in arr.to_pylist()]
-        found = scan(texts, rules, queries)
+        found = scan(arr, rules, queries)
         written = [[(k, f"{rules[k].kind}:{a}:{b}") for a, k, b in x] for x in found]
         counts = [pa.array([sum(k == i for _, k, _ in x) for x in found], pa.int64()) for i in range(n_base)]
         digest = [hashlib.sha256(",".join(s for k, s in x if k < n_base).encode()).hexdigest() for x in written]
@@ -220,7 +262,7 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE +
     def fn(arr: pa.Array) -> list[pa.Array]:
         given = arr.to_pylist()
         out = []
-        for old, spans in zip(given, scan([x or "" for x in given], rules, queries), strict=True):
+        for old, spans in zip(given, scan(arr, rules, queries), strict=True):
             at, parts = 0, []
             for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2])):
                 if a >= at:

@@ -267,6 +267,15 @@ def test_mix_meets_its_budget(spark):
         assert all(e == set(range(1, max(e) + 1)) or max(e) == max(x.epoch for x in own) for e in reads.values())
 
 
+def test_repeated_rows_are_read_once(spark):
+    rows = [(i, f"{i} " + "w " * 9, "a", "x", 7) for i in range(20)] + [(i, f"{i} " + "w " * 9, "a", "y", 8) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __t string, epoch int")
+    s = mixing.Settings(entropy=0.0)
+    got = mixing.mixed_documents(df, s=s).collect()
+    assert len(got) == mixing.mix(df, s=s).count() == 20 and {r.doc_id for r in got} == set(range(20))
+    assert all(r["__t"] in "xy" and r.input_epoch in (7, 8) and r.epoch == 1 for r in got)
+
+
 def test_mix_edges(spark, edge_docs, empty_docs):
     assert mixing.mix(empty_docs).count() == 0
     got = mixing.mixed_documents(edge_docs)
@@ -369,6 +378,25 @@ def test_join_edges(spark, edge_docs, empty_docs):
     assert ngramjoin.join(empty_docs).count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Columns named like those of the operators, a table without n_chars, short texts, null ids, and an empty table."""
+    names = ["score", "known", "lang_pred", "n_lines", "n_removed", "__gone", "__new", "__d", "__t", "__k", "d", "t", "epoch", "block", "slot", "copies", "kept"]
+    prose = ["the river and the stone under the house " * 4, "a green paper of the seven nights and music " * 5, "Re.", "light under the table and the music of the night " * 5]
+    rows = [(None if i == 1 else i, x, "en", "s") for i, x in enumerate(prose)]
+    path = str(tmp_path)
+    spark.createDataFrame([(0, "nothing of the kind stands in any of these documents")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, given = given.columns, common.written(stage(spark, given, path))
+            if name != "mixing":
+                assert given.columns == before
+        got = given.collect()
+        assert all(r[f"input_{n}" if n in ("epoch", "block", "slot") else n] == k for r in got for k, n in enumerate(names))
+    assert given.columns[-3:] == ["epoch", "block", "slot"]
+    assert sorted(r.text for r in common.written(corpus_pipeline.STAGES[0][1](spark, docs, path)).collect()) == sorted(prose)
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Every stage against a plain version of what it decides, on a small corpus with cases of each kind."""
     from tests.llm.test_text_operators import plain_dedup

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +73,23 @@ def test_schema_fingerprints(spark):
         chat.select_mapping(spark.range(1).schema)
 
 
+def test_records_with_more_fields(spark):
+    """Fields that no mapping names don't count, an empty list is a conversation without turns, and each record's own layout is chosen."""
+    said = [("user", "q"), ("assistant", "a")]
+    rows = [
+        ({"id": 3, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, "messages", said),
+        ({"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a", "weight": 1}]}, "messages", said),
+        ({"prompt": "q", "completion": "a", "source": "web"}, "prompt_completion", said), ({"messages": []}, "messages", []),
+        ({"prompt": "q", "response": "a", "messages": None, "score": 0.5}, "prompt_response", said), ({"instruction": "q", "input": "in", "output": "a", "question": "?"}, "instruction_input", [("user", "q\n\nin"), ("assistant", "a")]),
+        ({"messages": [{"role": "human", "content": None}, {"role": "gpt"}]}, "messages", [("user", ""), ("assistant", "")]), ({"messages": "no list"}, None, None), ({"question": 7, "answer": True}, "question_answer", [("user", "7"), ("assistant", "true")]),
+    ]
+    got = {r.i: r for r in chat.json_turns(spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(rows)], "i int, j string"), "j").collect()}
+    for i, (_, name, turns) in enumerate(rows):
+        assert (got[i].layout, None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == (name, turns)
+    other = spark.createDataFrame([(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x")], "conv_id long, message_index int, role string, content string, text_id string")
+    assert [(t.role, t.text) for t in chat.to_turns(other).first().turns] == said
+
+
 # ---------------------------------------------------------------- secrets
 
 
@@ -92,7 +111,7 @@ PARTS = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", " = ", ":
 @given(st.lists(st.sampled_from(PARTS), max_size=14))
 def test_secret_spans(parts):
     text = "".join(parts)
-    (found,) = secrets.scan([text], secrets.BASE + secrets.MORE)
+    (found,) = secrets.scan(pa.array([text]), secrets.BASE + secrets.MORE)
     base = [(k, f"{secrets.BASE[k].kind}:{a}:{b}") for a, k, b in found if k < 3]
     assert base == plain_secrets(text)
     direct = sorted((a, k, b) for k, r in enumerate(secrets.BASE + secrets.MORE) for a, b in r.spans(text))
@@ -107,7 +126,34 @@ def test_trigram_queries():
     assert q("(?:abc)*") == secrets.ALL and q("x.*abcd") == ("and", frozenset({("tri", "abc"), ("tri", "bcd")}))
     keyed = q(secrets.BASE[0].pattern)
     assert keyed != secrets.ALL
-    assert secrets.Index(["my PassWord: x", "apiKEY=", "passw ord", "nothing"]).candidates(keyed).tolist() == [True, True, False, False]
+    assert secrets.Index(pa.array(["my PassWord: x", "apiKEY=", "passw ord", None, "pass", "word", "nothing"]), secrets.trigrams(keyed)).candidates(keyed).tolist() == [0, 1]
+
+
+def test_postings_by_brute_force():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aAbBcé ") for _ in range(rng.randrange(8))) for _ in range(400)] + [None, ""]
+    asked = {"".join(rng.choice("abc ") for _ in range(3)) for _ in range(20)}
+    for arr, own in ((pa.array(texts), texts), (pa.array(texts).slice(100, 200), texts[100:300])):
+        index = secrets.Index(arr, asked)
+        for t in asked:
+            assert index.postings[t].tolist() == [i for i, x in enumerate(own) if t in (x or "").lower()]
+    assert secrets.Index(pa.array(texts), {"abé"}).candidates(("tri", "abé")).tolist() == list(range(402))
+
+
+def test_tokens_by_pattern():
+    """The pivot finds what the pattern finds, and a hostile text of a megabyte takes no longer than others."""
+    import time
+
+    rule = next(r for r in secrets.MORE if r.kind == "jwt")
+    rng = random.Random(6)
+    parts = ["eyJ", "eyJabcdefgh", "abcdefgh", ".", ".eyJabcdefgh", " ", "eyJeyJ", "_-", ".abcdefgh9", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(16)))
+        assert rule.spans(text) == [m.span() for m in re.finditer(rule.pattern, text)]
+    start = time.time()
+    for text in ("eyJ" * 350_000 + ".eyJ", "eyJabcdefgh" * 90_000 + "." + "eyJabcdefgh", ".eyJabcdefgh" * 90_000, "eyJabcdefgh." * 90_000):
+        secrets.scan(pa.array([text]), secrets.BASE + secrets.MORE)
+    assert time.time() - start < 20
 
 
 def test_secrets_query(spark, sf, duck):
@@ -223,6 +269,25 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(one, many, []).first().lang_pred == "l27" and many.slices.shape[0] == 4
 
 
+def test_scores_by_brute_force():
+    """Bit-sliced popcounts against sets of n-grams, whole texts and slices of them alike."""
+    rng = random.Random(8)
+    texts = {k: [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60)) for _ in range(5)] for k, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "vwxyz"))}
+    model = langid.train(texts)
+    arr = pa.array([*(x[0] for x in texts.values()), "", None, "abc", "VWX yz! " * 9, "é" * 30, " ".join(texts["aa"] + texts["cc"])])
+    got = langid.scores(model, arr)
+    s, table = model.settings, langid._letters()
+    for i, text in enumerate(arr.to_pylist()):
+        data = bytes(table[b] for b in (text or "").encode())
+        grams = [data[j : j + s.n] for j in range(len(data) - s.n + 1)]
+        grams = [g for g in grams if b"  " not in g]
+        for k in range(3):
+            code = [langid._slots(np.array([int.from_bytes(g, "little")], np.uint64), s) for g in grams]
+            share = sum(all(model.slices[k // 8][x[0]] >> (k % 8) & 1 for x in slots) for slots in code) / max(1, len(grams))
+            assert abs(got[i, k] - min(1, max(0, (share - model.fill[k]) / (1 - model.fill[k])))) < 1e-9
+    assert all(np.allclose(langid.scores(model, arr, most), got) for most in (1, 7, 100)) and (langid.scores(model, arr.slice(2, 5)) == got[2:7]).all()
+
+
 def test_letters_of_any_script():
     assert langid.has_letter("12 é") and not langid.has_letter("1²_ 漢"[:3]) and langid.has_letter("漢") and not langid.has_letter(None)
 
@@ -231,8 +296,6 @@ def test_letters_of_any_script():
 
 
 def test_toxicity_accuracy(spark, sf, duck):
-    import numpy as np
-
     big = sf.replace("sf0.01", "sf0.1")
     got = {r.doc_id: r for r in queries.op6_toxicity(spark, big).collect()}
     import duckdb
