@@ -4,13 +4,16 @@ A line that is not blank is hashed and counted in words. A run is a stretch of s
 it is long enough if it has ``least_words`` words. A line is deleted if it is in a long enough run that stands, line by line the
 same, at an earlier place too; places are ordered by document id, text hash and line. So the first copy stays.
 
-Winnowing: the window of a line is the shortest long-enough stretch that starts there; its least line hash is a fingerprint.
-Windows are cut by content alone, so every long enough run holds a whole window, and all copies of the run select the same
-fingerprint. A fingerprint that stands at one place only ends the matter: its windows can't repeat. Around the others the match is
-extended both ways: forward over the window that starts at a line, backward over the shortest long-enough stretch that ends at
-one. Every long enough common run is the union of such stretches, and a stretch (at most ``least_words`` lines) is compared as a
-whole by its hash with the earliest place of its kind. Two places are never paired, so a line that stands in a third of
-all documents costs no more than others: each step is an aggregate with partial sums on the map side.
+1. Winnowing: the window of a line is the shortest long-enough stretch that starts there; the line of its least hash (the first of equal
+   ones) is selected, once for all windows that it is the least of. Windows are cut by content alone, so all copies of a long enough run, which
+   holds a whole window, select the same fingerprint there.
+2. Positions are joined by fingerprint. One that is selected at a single place ends the matter: its windows can't repeat. Documents
+   without any other end here.
+3. Around the others the match is extended both ways: forward over the windows of the fingerprint, backward over the shortest long-enough
+   stretch that ends at a line and begins with such a window. Every long enough common run is the union of such stretches. A stretch (at most
+   ``least_words`` lines) is compared as a whole, by 128 bits over the 128 bits of each line, with the earliest place of its kind. Two
+   places are never paired, so a line that stands in a third of all documents costs no more than others: each step is an aggregate with
+   partial sums on the map side.
 
 Defined results: a null text stays null, blank lines stay; rows equal in id and text are one document and get the same result;
 extra columns pass through; a text of any length is read whole; of equal lines at one place of equal rows one counts; an empty table gives no rows.
@@ -18,7 +21,7 @@ extra columns pass through; a text of any length is read whole; of equal lines a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from prismframe.llm import common
@@ -36,42 +39,63 @@ def lines_of(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, pos, h, words): the lines that are not blank, with their hashes and their numbers of words."""
+    """(d, t, pos, h, g, words): the lines that are not blank, with two hashes and their numbers of words."""
     rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(*_key(id_col, text), F.posexplode_outer(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
-    return rows.select("d", "t", "pos", F.xxhash64("line").alias("h"), word_count(F.col("line")).alias("words")).filter("words > 0")
+    return rows.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), word_count(F.col("line")).alias("words")).filter("words > 0")
 
 
-def stretches(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(d, t, start, end, mark, run): every window and its counterpart backward, with its fingerprint and the hash of all its lines."""
+def _frames(least_words: int) -> tuple[WindowSpec, WindowSpec]:
+    """Over words: the lines that start (end) less than least_words words from where this one starts (ends)."""
+    ahead = Window.partitionBy("d", "t").orderBy("before").rangeBetween(0, least_words - 1)
+    return ahead, Window.partitionBy("d", "t").orderBy("after").rangeBetween(-(least_words - 1), 0)
+
+
+def winnowed(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(d, t, pos, h, g, before, after, mark, at): every line with its window's fingerprint and the line it is selected at; null without a window."""
     place = Window.partitionBy("d", "t").orderBy("pos")
     # rows equal in id and text put each line beside its twin
     once = lines.withColumn("twin", F.lag("pos").over(place)).filter("twin IS NULL OR twin <> pos")
-    at = once.withColumn("after", F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("words"))
-    # both frames range over words: the lines that start (end) less than least_words words from where this one starts (ends)
-    ahead = Window.partitionBy("d", "t").orderBy("before").rangeBetween(0, least_words - 1)
-    back = Window.partitionBy("d", "t").orderBy("after").rangeBetween(-(least_words - 1), 0)
-    spans = at.select(
-        "d", "t", "pos", "before", "after",
-        F.collect_list("h").over(ahead).alias("forward"), F.max("after").over(ahead).alias("forward_after"), F.max("pos").over(ahead).alias("forward_end"),
-        F.collect_list("h").over(back).alias("backward"), F.min("before").over(back).alias("backward_before"), F.min("pos").over(back).alias("backward_start"),
+    counted = once.withColumn("after", F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("words"))
+    ahead, _ = _frames(least_words)
+    spans = counted.withColumns({"least": F.min(F.struct("h", "pos")).over(ahead), "upto": F.max("after").over(ahead)})
+    least = F.when(F.col("upto") - F.col("before") >= least_words, F.col("least"))
+    return spans.select("d", "t", "pos", "h", "g", "before", "after", least["h"].alias("mark"), least["pos"].alias("at"))
+
+
+def stretches(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(d, t, start, end, run): the windows of marked lines (``seed``) and the stretches backward that begin with one, each with 128 bits of its lines."""
+    ahead, back = _frames(least_words)
+    spans = lines.select(
+        "d", "t", "pos", "before", "after", "seed",
+        F.collect_list(F.struct("h", "g")).over(ahead).alias("forward"), F.max("after").over(ahead).alias("forward_after"), F.max("pos").over(ahead).alias("forward_end"),
+        F.collect_list(F.struct("h", "g")).over(back).alias("backward"), F.min("before").over(back).alias("backward_before"), F.min(F.struct("pos", "seed")).over(back).alias("first"),
     )
     forward = F.when(
-        F.col("forward_after") - F.col("before") >= least_words, F.struct(F.col("forward").alias("run"), F.col("pos").alias("start"), F.col("forward_end").alias("end"))
+        F.col("seed") & (F.col("forward_after") - F.col("before") >= least_words), F.struct(F.col("forward").alias("run"), F.col("pos").alias("start"), F.col("forward_end").alias("end"))
     )
     # a backward stretch that would be long enough without its last line's words is no line's window
     backward = F.when(
-        F.col("before") - F.col("backward_before") >= least_words, F.struct(F.col("backward").alias("run"), F.col("backward_start").alias("start"), F.col("pos").alias("end"))
+        F.col("first.seed") & (F.col("before") - F.col("backward_before") >= least_words), F.struct(F.col("backward").alias("run"), F.col("first.pos").alias("start"), F.col("pos").alias("end"))
     )
     found = spans.select("d", "t", F.explode(F.filter(F.array(forward, backward), lambda x: x.isNotNull())).alias("s"))
-    return found.select("d", "t", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.array_min("s.run").alias("mark"), F.xxhash64(F.size("s.run"), "s.run").alias("run"))
+    run = F.struct(F.xxhash64(F.size("s.run"), F.col("s.run.h")).alias("h"), F.xxhash64(F.size("s.run"), F.col("s.run.g")).alias("g"))
+    return found.select("d", "t", F.col("s.start").alias("start"), F.col("s.end").alias("end"), run.alias("run"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(d, t, start, end): stretches of lines of which an earlier place holds a copy."""
-    lines = common.written(line_table(docs, id_col, text)).repartition("d", "t")  # two branches read it
     # tables of their own, so that the joins read exchanges on both sides and a hot hash can be split
-    again = common.written(lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("mark")))
-    near = common.written(stretches(lines, least_words).join(again, "mark", "left_semi").drop("mark"))
+    lines = common.written(winnowed(line_table(docs, id_col, text), least_words))
+    selected = lines.filter("mark IS NOT NULL").select("d", "t", "at", "mark").distinct()
+    again = common.written(selected.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"))
+    # each line with whether the fingerprint of its window stands elsewhere too, in the documents where one does
+    # lines without a window are dealt by their own hash; a seed without a window starts no stretch
+    keyed = lines.withColumn("mark", F.coalesce("mark", "h"))
+    seeded = keyed.join(again.withColumn("known", F.lit(True)), "mark", "left").withColumn("seed", F.col("known").isNotNull())
+    seeded = common.written(seeded.select("d", "t", "pos", "h", "g", "before", "after", "seed"))
+    with_seeds = seeded.filter("seed").select("d", "t").distinct().select(F.col("d").alias("__d"), F.col("t").alias("__t"))
+    marked = seeded.join(with_seeds, F.col("d").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")), "left_semi")
+    near = common.written(stretches(marked, least_words))
     first = near.groupBy("run").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n"))
     first = common.written(first.filter("n > 1").drop("n"))
     return near.join(first, "run").filter(F.struct("d", "t", "start") > F.col("first")).select("d", "t", "start", "end")
