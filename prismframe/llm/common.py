@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Texts are handled in pieces of about so many bytes, so that the working arrays of a task stay small.
 CHUNK_BYTES = 2 << 20
+#: Labels whose shares are broadcast; more are joined by a shuffle.
+MOST_LABELS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,9 @@ def labelled_sample(df: DataFrame, label: str, id_col: str, text: str, per_label
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(label), F.col(text))
     rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), h.alias("h"), F.col(text).alias("x"))
     counts = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).select("y", F.least(F.lit(1.0), F.lit(1.5 * per_label + 20) / F.greatest(F.lit(1), "n")).alias("share"))
-    counts = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    shares = counts.collect()
+    counts = df.sparkSession.createDataFrame(shares, counts.schema)
+    counts = F.broadcast(counts) if len(shares) <= MOST_LABELS else counts
     uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(counts, "y").filter(uniform < F.col("share")).groupBy("y", "h").agg(F.first("x").alias("x"))
     got: dict = {}
