@@ -80,26 +80,34 @@ def update(x: np.ndarray, codes: np.ndarray, spans: list[tuple[int, int]], k: in
     return out
 
 
+def first_rotation(x: np.ndarray, n: int, init: str, seed: int = 0) -> np.ndarray:
+    """TRN06: identity, random, gauss (eigenvectors dealt to n subspaces so that their variances are alike), gauss_shuffle (the same, the
+    subspaces in random order) or gauss_flat (the same, followed by one random rotation inside every subspace)."""
+    dim = x.shape[1]
+    if init == "identity" or (init.startswith("gauss") and dim % n):
+        return np.eye(dim)
+    if init == "random":
+        return linalg.random_rotation(dim, seed)
+    r = linalg.eigenvalue_allocation(np.cov(x.T, bias=True).reshape(dim, dim), n)
+    if init == "gauss_shuffle":
+        return r.reshape(n, dim // n, dim)[np.random.default_rng(seed).permutation(n)].reshape(dim, dim)
+    if init == "gauss_flat":
+        return r @ np.kron(np.eye(n), linalg.random_rotation(dim // n, seed))
+    if init != "gauss":
+        raise ValueError(f"no initial rotation {init}")
+    return r
+
+
 def learn_rotated(
-    x: np.ndarray, spans: list[tuple[int, int]], k: int, rounds: int = 10, block: int | None = None, init: str = "identity", seed: int = 0
+    x: np.ndarray, spans: list[tuple[int, int]], k: int, rounds: int | None = None, block: int | None = None, init: str | None = None, seed: int = 0
 ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """TRN05, TRN06, TRN08: a rotation learned with its codebooks: rotate, encode, update, refit the rotation by singular vectors.
+    """TRN05, TRN08: a rotation learned with its codebooks: rotate, encode, update, refit the rotation by singular vectors.
 
-    ``block`` limits the rotation to diagonal blocks of so many columns. ``init``: identity, random, gauss (eigenvalue allocation),
-    gauss_flat (eigenvectors in order) or gauss_shuffle (eigenvectors shuffled).
+    ``block`` limits the rotation to diagonal blocks of so many columns, from the identity in 20 rounds; without it, from gauss in 10.
     """
     dim = x.shape[1]
-    cov = np.cov(x.T, bias=True).reshape(dim, dim)
-    if init == "random":
-        r = linalg.random_rotation(dim, seed)
-    elif init == "gauss":
-        r = linalg.eigenvalue_allocation(cov, len(spans))
-        r = r if len(r) == dim else np.eye(dim)
-    elif init in ("gauss_flat", "gauss_shuffle"):
-        r = linalg.principal(cov, dim).T
-        r = np.random.default_rng(seed).permutation(r) if init == "gauss_shuffle" else r
-    else:
-        r = np.eye(dim)
+    rounds = (20 if block else 10) if rounds is None else rounds
+    r = first_rotation(x, len(spans), init or ("identity" if block else "gauss"), seed)
     books, codes = learn(x @ r.T, spans, k, 4, seed)
     for _ in range(rounds):
         decoded = decode(codes, books)

@@ -18,6 +18,8 @@ from prismframe.operators.arrow import lists, map_rows, sample
 #: Bytes of a code by name.
 ACCURACY = {"lowest": 2, "low": 8, "medium": 16, "high": 32}
 #: A scan is unrolled into compiled lookups up to so many codebooks; beyond, NumPy looks up in Arrow batches.
+#: Distances that a task holds at a time in a search.
+SCAN_CELLS = 1 << 20
 MOST_UNROLLED = 64
 
 
@@ -167,35 +169,34 @@ class Model:
     def knn(self, codes: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """KNN04, KNN05: (query_id, id, dist_q, dist, rank) of the k nearest by codes; products are ordered from the largest, ties by id.
 
-        With plain or clipped sums every Arrow batch looks all queries up and passes on its k nearest of each, so that neither the scan's
-        rows are sorted nor more than k a batch and query shuffled. Other accumulations scan in the JVM and rank all rows.
+        With plain or clipped sums every Arrow batch looks all queries of a block up at once and passes on what may be among the k nearest of
+        each, so that the scan's rows aren't sorted. Other accumulations scan in the JVM and rank all rows.
         """
         sign = 1 if self.spec.reduction == "l2" else -1
         if self.spec.accumulate not in ("sum", "u8"):
             scanned = self.transform(codes, queries, id_col, query_id, vector)
             return knn.top_k(scanned, "query_id", [F.col("dist_q") * sign, F.col("id")], k)
         top, out = 255 if self.spec.accumulate == "u8" else None, None
-        flat = np.arange(self.spec.n_codebooks) * self.spec.k
         for ids, q in knn.blocks(queries, query_id, vector):
-            where = codes.sparkSession.sparkContext.broadcast((ids, self.luts_of(q).reshape(len(q), -1)))  # a block's tables
+            where = codes.sparkSession.sparkContext.broadcast((ids, self._paired(self.luts_of(q))))  # a block's tables
 
             def run(batches, where=where):
                 ids, tables = where.value
+                limit = None
                 for b in batches:
                     if not b.num_rows:
                         continue
                     own = b.column(0).to_numpy(zero_copy_only=False)
-                    at = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) + flat
-                    at = np.ascontiguousarray(at.T, np.int32)
-                    for query, table in zip(ids, tables, strict=True):
-                        dist = table[at[0]]
-                        for c in at[1:]:
-                            dist = dist + table[c]
+                    at = self._pairs_of(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                    step = max(256, SCAN_CELLS // len(ids))
+                    for lo in range(0, len(own), step):
+                        part = at[:, lo : lo + step]
+                        dist = tables[0][part[0]]  # (rows, queries): whole rows of a table are added up
+                        for table, codes_ in zip(tables[1:], part[1:], strict=True):
+                            dist += table[codes_]
                         dist = dist if top is None else np.minimum(dist, top)
-                        near = dist * sign
-                        # the k-th distance and all ties with it, so that ids decide
-                        take = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]) if len(near) > k else np.arange(len(near))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), query)), pa.array(own[take], pa.int64()), pa.array(dist[take].astype(np.float64))], names=["query_id", "id", "dist_q"])
+                        i, query, limit = knn.nearest(dist * sign, k, limit)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(own[lo + i], pa.int64()), pa.array(dist[i, query].astype(np.float64))], names=["query_id", "id", "dist_q"])
 
             part = codes.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, dist_q double")
             out = part if out is None else out.union(part)
@@ -204,6 +205,24 @@ class Model:
         out = out.withColumn("dist", self._unquantized(F.col("dist_q")))
         return knn.top_k(out, "query_id", [F.col("dist_q") * sign, F.col("id")], k)
 
+    def _paired(self, tables: np.ndarray) -> list[np.ndarray]:
+        """(code, queries) tables of two codebooks each, where two codes fit in 12 bits: half the lookups. Whole numbers in few bytes."""
+        if self.spec.quantize != "none":
+            tables = tables.astype(np.int16 if tables.shape[1] * int(tables.max(initial=0)) < 1 << 15 else np.int32)
+        t = np.ascontiguousarray(tables.transpose(1, 2, 0))
+        if self.spec.k > 64:
+            return list(t)
+        out = [(t[c][:, None] + t[c + 1][None]).reshape(-1, t.shape[2]) for c in range(0, len(t) - 1, 2)]
+        return out + ([t[-1]] if len(t) % 2 else [])
+
+    def _pairs_of(self, codes: np.ndarray) -> np.ndarray:
+        """(tables, rows): the places in ``_paired`` tables."""
+        codes = codes.T.astype(np.int32)
+        if self.spec.k > 64:
+            return codes
+        even = len(codes) // 2 * 2
+        return np.concatenate([codes[0:even:2] * self.spec.k + codes[1:even:2], codes[even:]])
+
     def reconstruct(self, codes: np.ndarray) -> np.ndarray:
         return codebook.decode(codes, self.books)
 
@@ -237,7 +256,7 @@ def fit_sample(x: np.ndarray, spec: Spec, queries: np.ndarray | None = None, mea
     m = Model(spec, dim, mean, places, None, [])
     z = m.prepare(x)
     if spec.preproc in ("rotate", "rotate_blocks"):
-        m.rotation, m.books = codebook.learn_rotated(z, m.spans, spec.k, 10, spec.block if spec.preproc == "rotate_blocks" else None, seed=spec.seed)
+        m.rotation, m.books = codebook.learn_rotated(z, m.spans, spec.k, None, spec.block if spec.preproc == "rotate_blocks" else None, seed=spec.seed)
         z = m.prepare(x)
     if spec.encode == "kmeans":
         if not m.books:

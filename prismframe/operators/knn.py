@@ -68,6 +68,23 @@ def _scan(base: DataFrame, id_col: str, vector: str, ids: np.ndarray, q: np.ndar
     return rows.mapInArrow(run, "query_id long, id long, dist double")
 
 
+def nearest(dist: np.ndarray, k: int, limit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of distances (rows, queries): the (row, query) that may be among the k nearest, and a limit for the task's next rows.
+
+    ``limit`` has for every query a distance that k rows of the task don't pass; ties with it count, so that ids decide.
+    """
+    n = len(dist)
+    if limit is not None:
+        i, q = np.nonzero(dist <= limit)
+        if len(i) <= 4 * k * dist.shape[1]:
+            return i, q, limit
+    if n <= k:
+        return *np.nonzero(np.ones(dist.shape, bool)), limit
+    own = np.partition(dist, k - 1, axis=0)[k - 1]
+    limit = own if limit is None else np.minimum(own, limit)
+    return *np.nonzero(dist <= limit), limit
+
+
 def top_k(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     """KNN03, KNN08: the first k rows of each key, ranked; partial limits run before the shuffle (WindowGroupLimit)."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)

@@ -1,4 +1,4 @@
-"""How near an approximation comes, and how small it is (MET01-MET11, FLT01)."""
+"""How near an approximation comes, and how small it is (MET01-MET08, FLT01)."""
 
 from __future__ import annotations
 
@@ -55,14 +55,17 @@ def gradient_nmse(rows: DataFrame, true: str, approx: str) -> DataFrame:
 def packed_size(df: DataFrame, order: Column, columns: list[str], wide: bool = True, series: list[str] | None = None) -> DataFrame:
     """MET08: (series, bytes): integers packed by blocks of 8 rows.
 
-    A block's column takes the bits of its widest value (15 counts as 16, 7 as 8 in 8-bit data), times 8 rows, so as many bytes as bits. A
+    Bits are those of unsigned values; a series with any negative value is zigzag-coded first, all its columns. A block's column takes the bits of its widest value (15 counts as 16, 7 as 8 in 8-bit data), times 8 rows, so as many bytes as bits. A
     block has a header of 4 bits a column (3 in 8-bit data); a run of blocks of nothing but zeros costs one byte in all.
     """
     series = series or []
     top, header = (15, 4) if wide else (7, 3)
     order_by = Window.partitionBy(*series).orderBy(order) if series else Window.orderBy(order)
     rows = df.withColumn("block", F.floor((F.row_number().over(order_by) - 1) / 8))
-    widest = [F.max(V.nbits_signed(F.col(c))).alias(c) for c in columns]
+    # a window like that of the numbering, so that the series are dealt out once
+    least = F.min(F.least(*columns) if len(columns) > 1 else F.col(columns[0])).over(Window.partitionBy(*series))
+    rows = rows.withColumn("__signed", least < 0)
+    widest = [F.max(V.nbits_unsigned(F.when(F.col("__signed"), V.zigzag(F.col(c))).otherwise(F.col(c)))).alias(c) for c in columns]
     blocks = rows.groupBy(*series, "block").agg(*widest)
     bits = sum((F.when(F.col(c) == top, top + 1).otherwise(F.col(c)) for c in columns[1:]), F.when(F.col(columns[0]) == top, top + 1).otherwise(F.col(columns[0])))
     w = (Window.partitionBy(*series) if series else Window.partitionBy(F.lit(0))).orderBy("block")

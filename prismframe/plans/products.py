@@ -22,7 +22,7 @@ leaf AS (SELECT vec_id, c, 2 * g + CASE WHEN v[4 * c + 4] > (g - 3.5::DOUBLE) /
 
 @query(f"WITH {FLAT}, {TREE_SQL} SELECT vec_id, c AS codebook, code::INT AS code FROM leaf")
 def tree_encode_fixed(spark, sf):
-    """MIT08-MIT11: four comparisons a codebook, all in the JVM."""
+    """MIT08, MIT09: four comparisons a codebook, all in the JVM."""
     codes = F.array(*(V.tree_code(F.col("embedding"), t) for t in TREES))
     return embeddings(spark, sf).select("vec_id", F.posexplode(codes).alias("codebook", "code"))
 
@@ -134,8 +134,81 @@ def _columns(spark, b: np.ndarray):
     return spark.createDataFrame([(j, [float(x) for x in b[:, j]]) for j in range(b.shape[1])], "vec_id int, embedding array<double>")
 
 
+def _sketch_sql(make) -> str:
+    """The product by a sketch, whose matrix the SQL holds as a table; sketches of these kinds don't look at the data."""
+    v = make(16).fit(np.zeros((0, 64)), given_matrix()).v
+    cells_ = ", ".join(f"({i},{j},{v[i, j]!r}::DOUBLE)" for i, j in zip(*(x.tolist() for x in np.nonzero(v)), strict=True)).replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE")
+    return f"""WITH {FLAT}, s(i, j, g) AS (VALUES {cells_}),
+a AS (SELECT vec_id, j, sum(x * g) AS s FROM flat JOIN s ON s.i = pos GROUP BY vec_id, j), b AS (SELECT j, m, sum(g * ((i * 7 + m * 13) % 17 - 8) / 8.0::DOUBLE) AS s FROM s, range(8) t(m) GROUP BY j, m)
+SELECT vec_id, m::INT AS pos, round(sum(a.s * b.s), 5) AS x FROM a JOIN b USING (j) GROUP BY vec_id, m"""
+
+
+def _sketched(spark, sf, make):
+    return cells(make(16).fit(np.zeros((0, 64)), given_matrix()).apply(embeddings(spark, sf)), "vec_id", "product", 5)
+
+
+@query(_sketch_sql(amm.RandGauss))
+def matmul_gauss(spark, sf):
+    """AMM03, AMM04."""
+    return _sketched(spark, sf, amm.RandGauss)
+
+
+@query(_sketch_sql(amm.OrthoGauss))
+def matmul_orthogonal(spark, sf):
+    """AMM05."""
+    return _sketched(spark, sf, amm.OrthoGauss)
+
+
+@query(_sketch_sql(amm.Rademacher))
+def matmul_signs(spark, sf):
+    """AMM06."""
+    return _sketched(spark, sf, amm.Rademacher)
+
+
+@query(_sketch_sql(amm.FastJL))
+def matmul_fast_jl(spark, sf):
+    """AMM13."""
+    return _sketched(spark, sf, amm.FastJL)
+
+
+@query(_sketch_sql(amm.HashJL))
+def matmul_hash(spark, sf):
+    """AMM14."""
+    return _sketched(spark, sf, amm.HashJL)
+
+
+@query(_sketch_sql(amm.Osnap))
+def matmul_osnap(spark, sf):
+    """AMM15: four hash sketches on ranges of columns."""
+    return _sketched(spark, sf, amm.Osnap)
+
+
+#: Offsets and a scale for the trees above, so that components become whole numbers of one byte.
+TREE_SCALE = 128.0
+
+
+@query(f"""WITH {FLAT}, flat8 AS (SELECT vec_id, pos, greatest(-128, least(127, floor(x * 128 + 0.5))) AS x FROM flat), {TREE_SQL.replace("FROM flat GROUP BY", "FROM flat8 GROUP BY")
+    .replace("(g - 0.5::DOUBLE) / 40", "floor((g - 0.5::DOUBLE) / 40 * 128 + 0.5)").replace("(g - 1.5::DOUBLE) / 40", "floor((g - 1.5::DOUBLE) / 40 * 128 + 0.5)").replace("(g - 3.5::DOUBLE) / 40", "floor((g - 3.5::DOUBLE) / 40 * 128 + 0.5)")}
+SELECT vec_id, c AS codebook, code::INT AS code FROM leaf""")
+def tree_encode_bytes(spark, sf):
+    """MIT10, MIT11: components and thresholds as signed bytes, compared as whole numbers."""
+    small = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.floor(x.cast("double") * TREE_SCALE + 0.5))).cast("int"))
+    trees = [[{"dim": s["dim"], "vals": [float(np.floor(v * TREE_SCALE + 0.5)) for v in s["vals"]]} for s in t] for t in TREES]
+    rows = embeddings(spark, sf).select("vec_id", small.alias("small"))
+    return rows.select("vec_id", F.posexplode(F.array(*(V.tree_code(F.col("small"), t) for t in trees))).alias("codebook", "code"))
+
+
+@query(f"""WITH {FLAT}, {TREE_SQL}, t AS (SELECT c, k, m, sum(((((c * 16 + k) * 64 + i) * 7) % 23 - 11) * ((i * 7 + m * 13) % 17 - 8) / 8.0::DOUBLE) AS t FROM range(16) a(c), range(16) b(k), range(64) d(i), range(8) u(m) GROUP BY c, k, m)
+SELECT vec_id, m::INT AS pos, round(sum(t), 6) AS x FROM leaf JOIN t ON t.c = leaf.c AND t.k = leaf.code GROUP BY vec_id, m""")
+def tree_full_width_tables(spark, sf):
+    """MIT16: tables of centroids that span all components, added up by tree codes."""
+    centroids = np.array([[(r * 64 + i) * 7 % 23 - 11 for i in range(64)] for r in range(16 * 16)], float)
+    e = embeddings(spark, sf).select("vec_id", F.array(*(V.tree_code(F.col("embedding"), t) for t in TREES)).alias("codes"))
+    return cells(e.select("vec_id", tree.onehot_lookup_sum(F.col("codes"), centroids @ given_matrix(), 16, 16).alias("v")), "vec_id", "v")
+
+
 class FixedHash(amm.Sketch):
-    """AMM14 with an arithmetic hash, for the oracle."""
+    """A hash sketch by arithmetic."""
 
     def matrix(self, a, b, rng):
         v = np.zeros((len(b), self.d))
@@ -148,14 +221,14 @@ class FixedHash(amm.Sketch):
 a AS (SELECT vec_id, j, sum(x * g) AS s FROM flat JOIN h ON h.i = pos GROUP BY vec_id, j), b AS (SELECT j, m, sum(g * ((i * 7 + m * 13) % 17 - 8) / 8.0::DOUBLE) AS s FROM h, range(8) t(m) GROUP BY j, m)
 SELECT vec_id, m::INT AS pos, round(sum(a.s * b.s), 6) AS x FROM a JOIN b USING (j) GROUP BY vec_id, m""")
 def matmul_countsketch_fixedhash(spark, sf):
-    """AMM14, AMM15."""
+    """AMM03 with a hash by arithmetic."""
     return cells(FixedHash(16).fit(np.zeros((0, 64)), given_matrix()).apply(embeddings(spark, sf)), "vec_id", "product")
 
 
 @query(f"""WITH {CODES}, t AS (SELECT c, k, m, sum(y * {B}) AS t FROM cent, range(8) u(m) GROUP BY c, k, m)
 SELECT vec_id, m::INT AS pos, round(sum(t) + 1e-9, 6) AS x FROM codes JOIN t ON t.c = codes.c AND t.k = codes.code GROUP BY vec_id, m""")
 def matmul_pq(spark, sf):
-    """AMM20, AMM21 with the given codebook: the matrix's columns are queries, their tables are made once.
+    """AMM20 with the given codebook: the matrix's columns are queries, their tables are made once.
 
     Entries are multiples of 1e-6 / 8, so sums lie on the border of two roundings now and then: a little is added on both sides.
     """
@@ -180,7 +253,7 @@ def matmul_metrics(spark, sf):
 
 @query()
 def amm_methods(spark, sf):
-    """AMM01-AMM29, UDF02: every registered method on the embeddings with a random matrix: quality and cost, a row a method."""
+    """AMM01-AMM18, AMM20-AMM29, UDF02: every registered method on the embeddings with a random matrix: quality and cost, a row a method."""
     e = embeddings(spark, sf)
     b = np.random.default_rng(0).normal(size=(64, 20))
     a = sample(e, "embedding", 2000, "vec_id")

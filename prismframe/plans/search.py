@@ -225,19 +225,21 @@ def nbits_cost(spark, sf):
     return t.select("*", V.nbits_signed(F.col("d")).alias("signed_bits"), V.nbits_unsigned(F.abs("d")).alias("unsigned_bits"))
 
 
-BITS = "CASE WHEN {0} = 0 THEN 0 WHEN {0} > 0 THEN length(format('{{:b}}', {0})) + 1 WHEN {0} = -1 THEN 1 ELSE length(format('{{:b}}', -{0} - 1)) + 1 END"
+BITS = "CASE WHEN {0} = 0 THEN 0 ELSE length(format('{{:b}}', {0})) END"
 
 
 @query(f"""WITH r AS (
-  SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1) // 8 AS block, l_quantity::BIGINT - 25 AS a, l_linenumber::BIGINT AS b FROM lineitem
-), m AS (SELECT l_suppkey, block, max({BITS.format('a')}) AS a, max({BITS.format('b')}) AS b FROM r GROUP BY ALL),
+  SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1) // 8 AS block, l_quantity::BIGINT - CASE WHEN l_suppkey % 2 = 0 THEN 25 ELSE 0 END AS a, l_linenumber::BIGINT AS b FROM lineitem
+), s AS (SELECT l_suppkey, min(least(a, b)) < 0 AS signed FROM r GROUP BY l_suppkey),
+z AS (SELECT l_suppkey, block, CASE WHEN NOT signed THEN a WHEN a > 0 THEN 2 * a - 1 ELSE -2 * a END AS a, CASE WHEN NOT signed THEN b WHEN b > 0 THEN 2 * b - 1 ELSE -2 * b END AS b FROM r JOIN s USING (l_suppkey)),
+m AS (SELECT l_suppkey, block, max({BITS.format('a')}) AS a, max({BITS.format('b')}) AS b FROM z GROUP BY ALL),
 c AS (SELECT l_suppkey, block, CASE WHEN a = 15 THEN 16 ELSE a END + CASE WHEN b = 15 THEN 16 ELSE b END AS bits FROM m),
 p AS (SELECT *, lag(bits) OVER (PARTITION BY l_suppkey ORDER BY block) AS before FROM c)
 SELECT l_suppkey, sum(CASE WHEN bits > 0 THEN bits + 1 WHEN before = 0 THEN 0 ELSE 1 END)::BIGINT AS bytes FROM p GROUP BY l_suppkey""")
 def packed_size(spark, sf):
-    """MET08, a series a supplier."""
+    """MET08, a series a supplier; those with even numbers have negative values."""
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
-    t = t.select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), (F.col("l_quantity").cast("long") - 25).alias("a"), F.col("l_linenumber").cast("long").alias("b"))
+    t = t.select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), (F.col("l_quantity").cast("long") - F.when(F.col("l_suppkey") % 2 == 0, 25).otherwise(0)).alias("a"), F.col("l_linenumber").cast("long").alias("b"))
     return metrics.packed_size(t, F.col("o"), ["a", "b"], True, ["l_suppkey"])
 
 
@@ -252,11 +254,93 @@ def _given(spark, sf, **spec):
 
 @query(f"WITH {CODES} SELECT vec_id, c::INT AS codebook, code::INT AS code FROM codes")
 def pq_encode_fixed(spark, sf):
-    """VQ01, VQ02."""
+    """VQ01."""
     e, m = _given(spark, sf)
     return m.encode(e).select("vec_id", F.posexplode("codes").alias("codebook", "code")).select("vec_id", "codebook", F.col("code").cast("int").alias("code"))
 
 
+@query(f"""WITH {CENT}, cell AS (SELECT vec_id, c, k, round(sum(power(round(x * 100) - round(y * 100), 2))) AS d2 FROM flat JOIN cent USING (pos) GROUP BY vec_id, c, k)
+SELECT vec_id, c::INT AS codebook, arg_min(k, (d2, k))::INT AS code FROM cell GROUP BY vec_id, c""")
+def pq_encode_rounded(spark, sf):
+    """VQ02: distances rounded to whole numbers decide, with ties to the smaller code; components and centroids in whole hundredths."""
+    e = embeddings(spark, sf)
+    given = [np.floor(np.abs(b) * 100 + 0.5) * np.sign(b) for b in books(e)]
+    whole = e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 100)).alias("embedding"))
+    spans = V.even_spans(CODEBOOKS * SPAN, CODEBOOKS)
+    made = map_rows(whole, "embedding", ["vec_id"], [("codes", T.ArrayType(T.IntegerType()), pa.int32())], lambda x: [codebook.encode(x, given, spans, rounded=True)])
+    return made.select("vec_id", F.posexplode("codes").alias("codebook", "code"))
+
+
+@query("""SELECT vec_id, s::INT AS subspace, n::INT AS n, round(list_sum(list_transform(embedding[a + 1 : a + n], lambda x: x::DOUBLE)), 6) AS total FROM embeddings,
+  (SELECT s, CASE WHEN s < 4 THEN 11 * s ELSE 44 + 10 * (s - 4) END AS a, CASE WHEN s < 4 THEN 11 ELSE 10 END AS n FROM range(6) t(s))""")
+def subspace_slice_uneven(spark, sf):
+    """PRE08: six subspaces of 64 components, the four wider ones first."""
+    parts = V.subspaces(F.col("embedding"), V.even_spans(64, 6))
+    rows = embeddings(spark, sf).select("vec_id", F.posexplode(parts).alias("subspace", "part"))
+    return rows.select("vec_id", "subspace", F.size("part").alias("n"), F.round(V.total(F.transform("part", V.d)), 6).alias("total"))
+
+
+WIDE = FLAT + """, cent AS (SELECT pos // 8 AS c, pos, vec_id AS k, x AS y FROM flat WHERE vec_id < 256),
+cell AS (SELECT f.vec_id, c, k, sum((x - y) * (x - y)) AS d2, sum(x * y) AS dot FROM flat f JOIN cent USING (pos) GROUP BY f.vec_id, c, k),
+codes AS (SELECT vec_id, c, arg_min(k, (round(d2, 9), k)) AS code FROM cell GROUP BY vec_id, c)"""
+
+
+def _wide(spark, sf, **spec):
+    """Eight subspaces, whose 256 centroids are the vectors with the smallest ids: a code of 8 bits each."""
+    e = embeddings(spark, sf)
+    rows = e.filter("vec_id < 256").orderBy("vec_id").collect()  # 256 at most
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    return e, encoder.fixed([x[:, 8 * c : 8 * c + 8] for c in range(8)], encoder.Spec(n_codebooks=8, k=len(rows), quantize="none", **spec))
+
+
+@query(f"WITH {WIDE} SELECT vec_id, c::INT AS codebook, code::INT AS code FROM codes")
+def wide_encode_fixed(spark, sf):
+    """VQ03: 256 given centroids a codebook."""
+    e, m = _wide(spark, sf)
+    return m.encode(e).select("vec_id", F.posexplode("codes").alias("codebook", "code")).select("vec_id", "codebook", F.col("code").cast("int").alias("code"))
+
+
+@query(f"WITH {WIDE}, lut AS (SELECT vec_id AS query_id, c, k, d2 FROM cell WHERE vec_id % 50 = 0) SELECT query_id, vec_id AS id, round(sum(d2), 6) AS dist FROM codes JOIN lut ON lut.c = codes.c AND lut.k = codes.code GROUP BY ALL")
+def wide_scan(spark, sf):
+    """VQ09, VQ11, VQ15: codes of 8 bits against the tables of all queries."""
+    e, m = _wide(spark, sf)
+    return m.transform(m.encode(e), asked(e)).select("query_id", "id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {WIDE}, t AS (SELECT c, k, m, sum(y * ((pos * 7 + m * 13) % 17 - 8) / 8.0::DOUBLE) AS t FROM cent, range(8) u(m) GROUP BY c, k, m) SELECT vec_id, m::INT AS pos, round(sum(t), 6) AS x FROM codes JOIN t ON t.c = codes.c AND t.k = codes.code GROUP BY vec_id, m")
+def matmul_wide(spark, sf):
+    """AMM21: a matrix product by codes of 256 centroids."""
+    e, m = _wide(spark, sf, reduction="dot")
+    b = [(j, [((i * 7 + j * 13) % 17 - 8) / 8 for i in range(64)]) for j in range(8)]
+    got = m.transform(m.encode(e), spark.createDataFrame(b, "vec_id int, embedding array<double>"))
+    return got.select(F.col("id").alias("vec_id"), F.col("query_id").alias("pos"), F.round("dist", 6).alias("x"))
+
+
+@query(f"""WITH {FLAT}, p AS (SELECT vec_id AS center_id, label, pos, x AS y FROM flat WHERE vec_id < 40),
+d AS (SELECT f.vec_id, center_id, p.label, sum(power(x - y, 2)) AS d2 FROM flat f JOIN p USING (pos) GROUP BY f.vec_id, center_id, p.label),
+w AS (SELECT vec_id, label, sum(exp(-2 * d2)) AS w FROM d GROUP BY vec_id, label) SELECT vec_id, arg_min(label, (-w, label)) AS pred FROM w GROUP BY vec_id""")
+def rbf_vote(spark, sf):
+    """KNN10: votes of forty centres, several of a label."""
+    e = embeddings(spark, sf)
+    centers = e.filter("vec_id < 40").select(F.col("vec_id").alias("center_id"), "label", F.transform("embedding", V.d).alias("center"))
+    return knn.rbf_vote(e, centers, 2.0)
+
+
+@query(f"""WITH {FLAT}, d AS (SELECT vec_id, sum(power(x - 0.1::DOUBLE, 2)) AS d FROM flat GROUP BY vec_id) SELECT vec_id AS id, round(d, 6) AS dist, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM d ORDER BY d, vec_id LIMIT 10""")
+def knn_of_one_query(spark, sf):
+    """KNN01, KNN02, KNN08: the ten nearest rows of one given vector; the report of ten is the feature."""
+    one = spark.createDataFrame([(0, [0.1] * 64)], "vec_id long, embedding array<double>")
+    return knn.exact_knn(embeddings(spark, sf), one, 10, "vec_id", "vec_id").select("id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query("""SELECT vec_id, i::INT AS pos, greatest(-128, least(127, round_even(x::DOUBLE * 300, 0)))::INT AS i8, greatest(0, least(255, floor((x::DOUBLE + 0.2) * 500)))::INT AS u8
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)""")
+def saturating_pack(spark, sf):
+    """PRE14: components as signed and as unsigned bytes; what is beyond stays at the border."""
+    rows = embeddings(spark, sf).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return rows.select("vec_id", "pos", V.saturate_i8(F.col("x") * 300).alias("i8"), V.affine_u8(F.col("x"), -0.2, 500.0).alias("u8"))
+
+
 @query(f"""WITH {CODES}, r AS (SELECT vec_id, pos, x, y FROM flat JOIN codes ON codes.vec_id = flat.vec_id AND codes.c = flat.pos // 4 JOIN cent ON cent.pos = flat.pos AND cent.k = codes.code)
 SELECT round(avg((x - y) * (x - y)), 8) AS mse, round(var_pop(x), 8) AS variance, round(avg((x - y) * (x - y)) / var_pop(x), 6) AS share FROM r""".replace("SELECT vec_id, pos, x, y FROM flat", "SELECT flat.vec_id, flat.pos, x, y FROM flat"))
 def pq_reconstruct_mse(spark, sf):

@@ -42,9 +42,13 @@ def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def decode_npy(files: DataFrame) -> DataFrame:
+    """SRC01, SRC13: (path, vec_id, embedding) of files (path, content)."""
+    return _decoded(files, lambda b: np.load(io.BytesIO(b), allow_pickle=False), f"path string, {VECTORS}")
+
+
 def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
-    """SRC01, SRC13: (path, vec_id, embedding)."""
-    return _decoded(_files(spark, path, glob), lambda b: np.load(io.BytesIO(b), allow_pickle=False), f"path string, {VECTORS}")
+    return decode_npy(_files(spark, path, glob))
 
 
 def yael(content: bytes, kind: str) -> np.ndarray:
@@ -62,15 +66,20 @@ def yael(content: bytes, kind: str) -> np.ndarray:
     return rows[:, 4:].copy().view({"f": "<f4", "i": "<i4", "b": "u1"}[kind]).astype(np.float32)
 
 
+def decode_vecs(files: DataFrame, kind: str = "f") -> DataFrame:
+    """SRC03: (path, vec_id, embedding) of files (path, content)."""
+    return _decoded(files, lambda b: yael(b, kind), f"path string, {VECTORS}")
+
+
 def read_vecs(spark: SparkSession, path: str, kind: str = "f") -> DataFrame:
     """SRC03: .fvecs, .ivecs or .bvecs."""
-    return _decoded(_files(spark, path, f"*.{kind}vecs"), lambda b: yael(b, kind), f"path string, {VECTORS}")
+    return decode_vecs(_files(spark, path, f"*.{kind}vecs"), kind)
 
 
 def read_text_matrix(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """SRC01: (embedding), a line a row; blank lines and lines starting with # are left out."""
     lines = spark.read.text(path).select(F.trim("value").alias("value")).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
-    return lines.select(F.transform(F.split("value", sep), lambda x: x.cast("double")).alias("embedding"))
+    return lines.select(F.transform(F.split("value", sep), lambda x: x.try_cast("double")).alias("embedding"))
 
 
 def read_series(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -104,15 +113,18 @@ def read_meters(spark: SparkSession, path: str, schema: str, time: str) -> DataF
     return rows.withColumn("ts", F.timestamp_seconds(time)).withColumn("ms", F.unix_millis("ts"))
 
 
-def read_recording(spark: SparkSession, path: str, channels: int, skip_rows: int = 0, glob: str = "*") -> DataFrame:
+def decode_recordings(files: DataFrame, channels: int, skip_rows: int = 0) -> DataFrame:
     """SRC10: (path, t, values) of interleaved little-endian 16-bit samples, the first ``skip_rows`` left out, channels centred."""
-    files = _files(spark, path, glob)
     rows = _decoded(files, lambda b: np.frombuffer(b[: len(b) // (2 * channels) * 2 * channels], "<i2").reshape(-1, channels)[skip_rows:], f"path string, {VECTORS}")
     w = Window.partitionBy("path")
     centred = [V - F.avg(V).over(w) for V in (F.col("embedding")[c].cast("double") for c in range(channels))]
     return rows.select("path", F.col("vec_id").alias("t"), F.array(*centred).alias("values"))
 
 
+def read_recording(spark: SparkSession, path: str, channels: int, skip_rows: int = 0, glob: str = "*") -> DataFrame:
+    return decode_recordings(_files(spark, path, glob), channels, skip_rows)
+
+
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """SRC14: (key, value, numbers) of lines ``key: value``; all numbers of the value."""
     lines = spark.read.text(path).filter(F.col("value").contains(":"))

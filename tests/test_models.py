@@ -128,6 +128,34 @@ def test_rotation_lowers_the_error():
     assert ((codebook.decode(codebook.encode(z, turned, spans), turned) - z) ** 2).mean() < plain
 
 
+def test_first_rotations():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12))
+    gauss = codebook.first_rotation(x, 4, "gauss")
+    for init in ("identity", "random", "gauss", "gauss_shuffle", "gauss_flat"):
+        r = codebook.first_rotation(x, 4, init, 1)
+        assert np.allclose(r @ r.T, np.eye(12), atol=1e-9)
+    shuffled = codebook.first_rotation(x, 4, "gauss_shuffle", 3).reshape(4, 3, 12)
+    assert all(any(np.allclose(part, own) for own in gauss.reshape(4, 3, 12)) for part in shuffled) and not np.allclose(shuffled.reshape(12, 12), gauss)
+    inside = gauss.T @ codebook.first_rotation(x, 4, "gauss_flat", 1)
+    assert all(np.allclose(inside[a : a + 3, a : a + 3], inside[:3, :3]) for a in (3, 6, 9)) and np.allclose(inside[:3, 3:], 0)
+
+
+def test_nearest_of_a_task_in_pieces():
+    from prismframe.operators import knn
+
+    rng = np.random.default_rng(5)
+    dist = rng.integers(0, 300, (500, 7)).astype(float)
+    found, limit = set(), None
+    for lo in range(0, 500, 60):
+        i, q, limit = knn.nearest(dist[lo : lo + 60], 5, limit)
+        found |= {(lo + a, b) for a, b in zip(i.tolist(), q.tolist(), strict=True)}
+    for q in range(7):
+        fifth = np.sort(dist[:, q])[4]
+        assert {(i, q) for i in np.flatnonzero(dist[:, q] <= fifth).tolist()} <= found
+    assert len(found) < 500
+
+
 def test_gram_identities(spark):
     rng = np.random.default_rng(0)
     codes, y, w = rng.integers(0, 16, (100, 8)), rng.normal(size=(100, 17)), rng.normal(size=(128, 17))

@@ -129,5 +129,12 @@ def test_relational(spark):
 def test_packed_size(spark):
     rows = [(i, 0) for i in range(16)] + [(16 + i, 3) for i in range(8)] + [(24 + i, 0) for i in range(8)]
     df = spark.createDataFrame(rows, "t int, v long")
-    # a run of zero blocks costs one byte, a block of three bits 3 + 1, another run one
-    assert metrics.packed_size(df, F.col("t"), ["v"]).first().bytes == 6
+    size = lambda values, wide=True: metrics.packed_size(spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "t int, v long, w long"), F.col("t"), ["v", "w"], wide).first().bytes
+    # a run of zero blocks costs one byte, a block of two bits 2 + 1, another run one
+    assert metrics.packed_size(df, F.col("t"), ["v"]).first().bytes == 5
+    # unsigned bits without a negative value: 3 for a 7, and a byte of header for two columns
+    assert size([(7, 0)] * 8) == 4 and size([(7, 1)] * 8) == 5
+    # with one, both columns are zigzag-coded: -1 is 2 and 7 is 13
+    assert size([(7, -1)] * 8) == 1 + 4 + 2 and size([(-1, 0)] * 8) == 1 + 2
+    # 7 bits count as 8 in 8-bit data, 15 as 16 in 16-bit data
+    assert size([(100, 0)] * 8, False) == 1 + 8 and size([(20_000, 0)] * 8) == 1 + 16
