@@ -10,12 +10,16 @@
    a vertex, and expands the nearest unexpanded vertex; as soon as a vertex within the range is known, all vertices within the range are expanded, until none is left.
 4. Verify: a pair counts if its cosine in double precision reaches the threshold. A pair that meets in several shards counts in
    the first, which both vectors know from their lists of shards. Tasks return counts and a spanning forest, never the pairs.
-5. Audit: for a bounded set of queries the links are counted by brute force over all vectors, in blocks. If fewer than
-   ``recall`` of them were found, the build is repeated with one more shard a vector; if ``most_overlap`` shards miss them too, all rows are compared
+5. Audit: for a bounded set of queries, half of them drawn from all vectors and half from those with links, the links are counted by brute force
+   over all vectors, in blocks. If fewer than ``recall`` of them were found, the build is repeated with one more shard a vector; if ``most_overlap`` shards miss them too, all rows are compared
    outright as pairs of blocks, which finds every link and whose work grows with the square of the rows.
 
-Defined results: vectors that are null, empty, zero, of another length than the commonest, or hold null or non-finite components link with
-nothing; equal ids with different vectors are different rows; rows equal in id and vector are one; ids stay integers.
+Vectors of different lengths have no cosine: every length is compared by itself; but for the commonest, lengths of fewer than
+``block`` vectors are compared outright, all in one go.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; equal ids with different vectors are
+different rows; rows equal in id and vector are rows of their own, linked with each other; ids stay integers; other columns aren't read, whatever they
+are called; vectors of any length are handled, a block of them at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ def matrix(arr: pa.Array) -> np.ndarray:
 
 
 def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(r, v, u): a 16-byte key of each row's id and vector, one of its normalised vector, and that; only rows that may link. Native."""
+    """(r, v, u): a 16-byte key of each row's id and vector, one of its normalised vector, and that; only rows that may link, each as often as it is there. Native."""
     x = F.transform(F.col(f"`{vector}`"), lambda e: e.cast("double"))
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = df.select(x.alias("x"), row_key(id_col, vector).alias("r")).filter((F.size("x") > 0) & whole)
@@ -77,7 +81,7 @@ def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     scaled = rows.withColumn("top", top).filter("top > 0").select("r", F.transform("x", lambda e: e / F.col("top")).alias("x"))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
     unit_ = scaled.withColumn("length", length).select("r", F.transform("x", lambda e: e / F.col("length")).alias("u"))
-    return unit_.select("r", _key(F.col("u")).alias("v"), "u").dropDuplicates(["r"])
+    return unit_.select("r", _key(F.col("u")).alias("v"), "u")
 
 
 def _key(*values: Column) -> Column:
@@ -351,10 +355,16 @@ def in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def audit(rows: DataFrame, counts: DataFrame, n: int, s: Settings) -> float:
-    """The found share of the links of a bounded set of vectors, counted by brute force over all."""
-    share = min(1.0, s.audit / max(1, n))
+    """The found share of the links of a bounded set of vectors, counted by brute force over all.
+
+    Where near copies are rare, few of the vectors drawn from all have a link; those with links are drawn from too, and tell whether all of theirs were found.
+    """
     uniform = F.pmod(F.xxhash64("v", F.lit(s.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    asked = rows.filter(uniform <= share).select("v", "u", "weight").limit(2 * s.audit).collect()
+    linked = counts.select("v")
+    asked = []
+    for pool, size in ((rows, n), (rows.join(linked, "v", "left_semi"), linked.count())):
+        some = pool.filter(uniform <= min(1.0, s.audit / max(1, size))).select("v", "u", "weight")
+        asked += [r for r in some.orderBy(uniform, "v").limit(2 * s.audit).collect() if r["v"] not in {x["v"] for x in asked}]
     if not asked:
         return 1.0
     where = rows.sparkSession.sparkContext.broadcast((unit([r["u"] for r in asked]), s.cosine))
@@ -375,32 +385,47 @@ def audit(rows: DataFrame, counts: DataFrame, n: int, s: Settings) -> float:
     return found / total if total else 1.0
 
 
-def dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", s: Settings = Settings()) -> DataFrame:
-    """(id, n_links, component_id, kept), one row a vector."""
-    members = common.written(vectors(df, id_col, vector))
-    sizes = members.groupBy(F.size("u").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    every = df.select(F.col(f"`{id_col}`").alias("d"), row_key(id_col, vector).alias("r")).dropDuplicates(["r"])
-    if not sizes:
-        return every.select(F.col("d").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("d").alias("component_id"), F.lit(True).alias("kept"))
-    members = members.filter(F.size("u") == sizes[0]["size"])
-    rows = common.written(members.groupBy("v").agg(F.first("u").alias("u"), F.count("*").alias("weight")))
-    n, overlap = rows.count(), s.overlap
+def links_of_length(rows: DataFrame, n: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(v, links, root) of vectors of one length with links, and (v, links) summed."""
+    overlap = s.overlap
     while True:
         placed = in_blocks(shards(rows, n, overlap, s), s)
         links = search(placed, build(placed, s), s)
         counts = common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
         if audit(rows, counts, n, s) >= s.recall:
-            break
+            return links, counts
         if overlap >= s.most_overlap:  # shards don't find the links: one shard of all rows does
-            links = search(in_blocks(rows.withColumn("shards", F.array(F.lit(0))), s), None, s)
-            counts = common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
-            break
+            return outright(rows.withColumn("shards", F.array(F.lit(0))), s)
         overlap += 1
+
+
+def outright(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The same of vectors (with their ``shards``) that are compared pair by pair inside a shard."""
+    links = search(in_blocks(rows, s), None, s)
+    return links, common.written(links.groupBy("v").agg(F.sum("links").alias("links")))
+
+
+def dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", s: Settings = Settings()) -> DataFrame:
+    """(id, n_links, component_id, kept), one row a row."""
+    members = common.written(vectors(df, id_col, vector))
+    every = df.select(F.col(f"`{id_col}`").alias("d"), row_key(id_col, vector).alias("r"))
+    rows = common.written(members.groupBy("v").agg(F.first("u").alias("u"), F.count("*").alias("weight")).withColumn("size", F.size("u")))
+    per = rows.groupBy("size").agg(F.count("*").alias("n"))
+    commonest = per.orderBy(F.desc("n"), "size").limit(1)
+    sizes = {r["size"]: r["n"] for r in per.filter(F.col("n") >= s.block).union(commonest).collect()}
+    # other lengths have few vectors: the length is the shard
+    rare = rows.filter(~F.col("size").isin(list(sizes))) if sizes else rows
+    found = [outright(rare.withColumn("shards", F.array("size")), s)]
+    found += [links_of_length(rows.filter(F.col("size") == size), n, s) for size, n in sorted(sizes.items())]
+    links, counts = found[0]
+    for more, sums in found[1:]:
+        links, counts = links.union(more), counts.union(sums)
     labels = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     known = rows.select("v", "weight").join(counts, "v", "left").join(labels, "v", "left")
     known = common.written(known.select("v", F.coalesce("label", "v").alias("label"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # tables of their own, so that the joins read exchanges on both sides and a large class or component can be split
-    placed = common.written(every.join(members.select("r", "v"), "r", "left").join(known, "v", "left").withColumn("label", F.coalesce("label", "r")).drop("v", "r"))
+    own = common.written(members.select("r", "v").distinct().join(known, "v").drop("v"))
+    placed = common.written(every.join(own, "r", "left").withColumn("label", F.coalesce("label", "r")).drop("r"))
     first = common.written(placed.groupBy("label").agg(F.min("d").alias("component_id")))
     return placed.join(first, "label").select(
         F.col("d").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept")

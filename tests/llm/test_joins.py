@@ -298,7 +298,13 @@ def test_graph_by_brute_force(spark):
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
     for s in (embdedup.Settings(shard=300), embdedup.Settings(shard=300, block=128)):
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.dedup(df, s=s).collect()}
+        found = embdedup.dedup(df, s=s).collect()
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found}
+        assert len(found) == 1508 and sum(r.vec_id == 0 for r in found) == 2  # one row is there twice: each is the other's link
+        near[0, 0] = True
+        for j in np.flatnonzero(near[0]).tolist():
+            if j:
+                got[j] = (got[j][0] - 1, *got[j][1:])
         assert len(got) == 1507 and all(got[i] == (0, i, True) for i in range(3000, 3007))
         assert all(got[i][0] <= near[i].sum() for i in range(1500))
         assert sum(got[i][0] for i in range(1500)) >= 0.98 * near.sum()
@@ -340,6 +346,36 @@ def test_rows_are_compared_outright_if_shards_miss_links(spark):
     assert got == {i: (links[i], label[i]) for i in range(700)}
 
 
+def test_vectors_of_every_length(spark):
+    """Three lengths, one of them of few vectors: each is compared by itself, against brute force; zeros at the end don't make two lengths one."""
+    rng = np.random.default_rng(6)
+    rows, want, at = [], {}, 0
+    for size, n in ((3, 40), (8, 300), (12, 260)):
+        x = rng.normal(size=(n, size))
+        x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, size)) * 0.05
+        links, label = links_and_labels(x)
+        want |= {at + i: (links[i], at + label[i]) for i in range(n)}
+        rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
+        at += n
+    rows.append((at, [*rows[0][1], 0.0]))
+    want[at] = (0, at)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embdedup.dedup(df, s=embdedup.Settings(shard=60, block=128)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(rows)
+
+
+def test_audit_asks_vectors_with_links(spark):
+    """Links are so rare that vectors drawn from all have none: a half of each pair's links is missing, and the audit sees it."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16))
+    x[3:6] = x[0] + rng.normal(size=(3, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(bytes([i % 256, i // 256]), v.tolist(), 1) for i, v in enumerate(x)], "v binary, u array<double>, weight long")
+    s = embdedup.Settings(audit=4)
+    counts = lambda k: spark.createDataFrame([(bytes([i, 0]), k) for i in (0, 3, 4, 5)], "v binary, links long")
+    assert embdedup.audit(rows, counts(3), 4000, s) == 1.0 and embdedup.audit(rows, counts(1), 4000, s) < 0.5
+
+
 def test_copies_of_vectors_are_one_class(spark):
     """Copies by the thousand, and scaled ones: counted, never paired."""
     rng = np.random.default_rng(1)
