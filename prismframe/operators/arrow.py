@@ -39,11 +39,8 @@ def map_rows(df: DataFrame, vector: str, keep: list[str], outputs: list[tuple[st
     return df.select(*keep, F.col(vector).alias("__v")).filter("__v IS NOT NULL").mapInArrow(run, schema)
 
 
-def sum_partials(df: DataFrame, columns: list[str], fn: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all batches of a matrix of fixed shape that ``fn`` makes of a batch's columns: one partial sum a task.
-
-    Partial sums travel as rows of (place, value), so that they are added up by executors and the driver gets one matrix.
-    """
+def partial_sums(df: DataFrame, columns: list[str], fn: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> DataFrame:
+    """(at, x): the cells of the sum over all batches of a matrix of fixed shape that ``fn`` makes of a batch's columns: one partial sum a task."""
     cells = int(np.prod(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,9 +50,13 @@ def sum_partials(df: DataFrame, columns: list[str], fn: Callable[[list[np.ndarra
                 out += fn([matrix(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(out.ravel())], names=["at", "x"])
 
-    got = df.select(*columns).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(cells)
-    for r in got:
+    return df.select(*columns).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
+
+
+def sum_partials(df: DataFrame, columns: list[str], fn: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """``partial_sums`` added up by executors, as one matrix on the driver."""
+    out = np.zeros(int(np.prod(shape)))
+    for r in partial_sums(df, columns, fn, shape).collect():
         out[r["at"]] = r["x"]
     return out.reshape(shape)
 

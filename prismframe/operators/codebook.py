@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismframe.functions import vector as V
 from prismframe.operators import linalg
+from prismframe.operators.arrow import partial_sums
 
 
 def sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -127,24 +128,41 @@ def learn_rotated(
 # ---------------------------------------------------------------- distributed steps
 
 
-def centroid_update(codes: DataFrame, vector: str, codes_col: str, span: int) -> DataFrame:
-    """TRN04: (codebook, code, center): the mean of all rows of each code, for even spans of ``span`` columns."""
-    flat = codes.select(F.posexplode(vector).alias("pos", "x"), codes_col)
-    flat = flat.select(F.floor(F.col("pos") / span).cast("int").alias("codebook"), F.col("pos") % span, F.col("x").cast("double").alias("x"), codes_col)
-    flat = flat.toDF("codebook", "j", "x", "codes").withColumn("code", F.col("codes")[F.col("codebook")])
-    means = flat.groupBy("codebook", "code", "j").agg(F.avg("x").alias("x"))
-    return means.groupBy("codebook", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("center"))
+def _centers(sums: DataFrame, width: int) -> DataFrame:
+    """(r, n, center) of rows of ``width`` sums and a count, from their cells; rows without a count are left out. As many rows as the model has."""
+    cells = sums.select(F.floor(F.col("at") / (width + 1)).cast("int").alias("r"), (F.col("at") % (width + 1)).alias("j"), "x")
+    rows = cells.groupBy("r").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("v"))
+    n = F.element_at("v", -1)
+    return rows.filter(n > 0).select("r", F.round(n).cast("long").alias("n"), F.transform(F.slice("v", 1, width), lambda x: x / n).alias("center"))
+
+
+def centroid_update(codes: DataFrame, vector: str, codes_col: str, span: int, k: int = 16) -> DataFrame:
+    """TRN04: (codebook, code, center): the mean of all rows of each code, for even spans of ``span`` columns. One partial sum a task."""
+    rows = codes.filter(F.col(vector).isNotNull() & F.col(codes_col).isNotNull())
+    one = rows.select(F.size(codes_col).alias("n")).first()
+    n = 0 if one is None else one["n"]
+
+    def sums(c: list[np.ndarray]) -> np.ndarray:
+        x, at = c[0], c[1].astype(np.int64)
+        out = np.zeros((n, k, span + 1))
+        for b in range(n):
+            np.add.at(out[b], at[:, b], np.hstack([x[:, b * span : (b + 1) * span], np.ones((len(x), 1))]))
+        return out
+
+    got = _centers(partial_sums(rows, [vector, codes_col], sums, (n, k, span + 1)), span)
+    return got.select(F.floor(F.col("r") / k).cast("int").alias("codebook"), (F.col("r") % k).alias("code"), "center")
 
 
 def lloyd_step(df: DataFrame, vector: str, centers: np.ndarray) -> DataFrame:
     """TRN01: (cluster, n, center): one round over all rows from given centres (a bounded model)."""
-    from prismframe.operators.arrow import map_rows
-    import pyarrow as pa
-    from pyspark.sql import types as T
 
-    coded = map_rows(df, vector, [vector], [("cluster", T.LongType(), pa.int64())], lambda x: [sq_dists(x, centers).argmin(1)])
-    flat = coded.select("cluster", F.posexplode(vector).alias("j", "x")).groupBy("cluster", "j").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    return flat.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("center"))
+    def sums(c: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(centers), centers.shape[1] + 1))
+        np.add.at(out, sq_dists(c[0], centers).argmin(1), np.hstack([c[0], np.ones((len(c[0]), 1))]))
+        return out
+
+    got = _centers(partial_sums(df.filter(F.col(vector).isNotNull()), [vector], sums, (len(centers), centers.shape[1] + 1)), centers.shape[1])
+    return got.select(F.col("r").cast("long").alias("cluster"), "n", "center")
 
 
 def reconstruct(codes: Column, books: list[np.ndarray]) -> Column:

@@ -150,21 +150,21 @@ class Model:
         return pairs.withColumn("dist", self._unquantized(F.col("dist_q")))
 
     def _scan_wide(self, codes: DataFrame, luts: DataFrame, id_col: str) -> DataFrame:
-        rows = [(r["query_id"], r["lut"]) for r in luts.limit(knn.BLOCK + 1).collect()]
-        if len(rows) > knn.BLOCK:
-            raise ValueError(f"more than {knn.BLOCK} queries at once against {self.spec.n_codebooks} codebooks: search in blocks")
-        ids, table = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        flat = np.arange(self.spec.n_codebooks) * self.spec.k
-
-        def run(batches):
-            for b in batches:
-                if b.num_rows and len(ids):
-                    got = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) + flat
-                    own = b.column(0).to_numpy(zero_copy_only=False)
-                    for q, t in zip(ids, table, strict=True):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q)), pa.array(own, pa.int64()), pa.array(t[got].sum(1))], names=["query_id", "id", "dist_q"])
+        """More codebooks than are unrolled: the tables of some queries at a time travel to every task."""
+        flat, out = np.arange(self.spec.n_codebooks) * self.spec.k, None
+        for ids, table in knn.blocks(luts, "query_id", "lut"):
+
+            def run(batches, ids=ids, table=table):
+                for b in batches:
+                    if b.num_rows:
+                        got = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) + flat
+                        own = b.column(0).to_numpy(zero_copy_only=False)
+                        for q, t in zip(ids, table, strict=True):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q)), pa.array(own, pa.int64()), pa.array(t[got].sum(1))], names=["query_id", "id", "dist_q"])
 
-        return codes.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, dist_q double")
+            part = codes.select(F.col(id_col).cast("long"), "codes").mapInArrow(run, "query_id long, id long, dist_q double")
+            out = part if out is None else out.union(part)
+        return codes.sparkSession.createDataFrame([], "query_id long, id long, dist_q double") if out is None else out
 
     def knn(self, codes: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """KNN04, KNN05: (query_id, id, dist_q, dist, rank) of the k nearest by codes; products are ordered from the largest, ties by id.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -35,13 +35,33 @@ def at_or_below(left: DataFrame, right: DataFrame, keys: Sequence[str], target:
 
     With ``other_id``, ties go to its smallest value, and a right row whose id is the left row's own is left out.
     """
-    joined = left.join(right.select(*keys, *(c for c in right.columns if c not in keys)), list(keys))
-    joined = joined.filter(F.col(other_id) != F.col(id_col)) if other_id else joined
-    below = F.col(value) <= F.col(target)
-    # one number to order by: those at or below first, from the largest; then the others from the smallest
-    order = [below.desc(), F.when(below, -F.col(value)).otherwise(F.col(value)), *([other_id] if other_id else [])]
-    w = Window.partitionBy(id_col).orderBy(*order)
-    return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    other = F.col(other_id) if other_id else F.lit(0)
+    found = F.struct(value, other.alias("__o"), *(c for c in right.columns if c not in keys and c != value)).alias("__f")
+    marks = left.select(*keys, F.col(target).alias("__v"), F.struct(*left.columns).alias("__l"))
+    both = right.select(*keys, F.col(value).alias("__v"), found).unionByName(marks, allowMissingColumns=True)
+    # right rows from the smallest value, of equal ones the smallest id last; a left row comes after those that its target reaches
+    low = Window.partitionBy(*keys).orderBy("__v", F.col("__l").isNotNull(), F.col("__f.__o").desc())
+    # and the other way round: from the largest value, the smallest id last again
+    high = Window.partitionBy(*keys).orderBy(F.desc("__v"), F.col("__l").isNull(), F.col("__f.__o").desc())
+
+    def last_two(w: WindowSpec, name: str) -> dict[str, Column]:
+        """The last right row up to here and the one before it."""
+        seen = w.rowsBetween(Window.unboundedPreceding, 0)
+        return {f"{name}1": F.last("__f", ignorenulls=True).over(seen), f"{name}2": F.last("__g", ignorenulls=True).over(seen)}
+
+    for w, name in ((low, "__low"), (high, "__high")):
+        # for a right row the one before it among right rows: left rows between them have none
+        both = both.withColumn("__g", F.when(F.col("__f").isNotNull(), F.struct(F.last("__f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"))))
+        both = both.withColumns(last_two(w, name))
+    own = F.col(f"__l.{id_col}")
+
+    def first_of(*names: str) -> Column:
+        rows = [F.col(n) if n.endswith("1") else F.col(f"{n}.f") for n in names]
+        ok = (lambda r: r.isNotNull() & (r["__o"] != own)) if other_id else (lambda r: r.isNotNull())
+        return F.coalesce(*(F.when(ok(r), r) for r in rows))
+
+    best = both.filter("__l IS NOT NULL").withColumn("__b", first_of("__low1", "__low2", "__high1", "__high2")).filter("__b IS NOT NULL")
+    return best.select("__l.*", *(F.col(f"__b.{c}") for c in right.columns if c not in keys))
 
 
 def pareto(df: DataFrame, x: str, y: str, id_col: str, by: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismframe.functions import vector as V
 from prismframe.operators import linalg
+from prismframe.operators.arrow import partial_sums
 
 # ---------------------------------------------------------------- distributed statistics
 
@@ -22,20 +23,22 @@ def bucket_stats(coded: DataFrame, node: str, vector: str) -> DataFrame:
     return out.withColumn("loss", F.col("sum2") - F.col("sum") * F.col("sum") / F.col("n"))
 
 
-def best_splits(rows: DataFrame, node: str, x: str, id_col: str) -> DataFrame:
+def best_splits(rows: DataFrame, node: str, x: str) -> DataFrame:
     """MIT02: (node, value, loss): the cut of a node's values with the least squared error on both sides, half way between neighbours.
 
     Equal values are never cut apart; of equal losses the lower cut counts. A node with one value has no cut.
     """
-    up = Window.partitionBy(node).orderBy(x, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(node)
-    order = Window.partitionBy(node).orderBy(x, id_col)
     v = F.col(x).cast("double")
-    t = rows.select(
-        F.col(node).alias("node"), v.alias("x"),
-        F.count("*").over(up).alias("n"), F.sum(v).over(up).alias("s"), F.sum(v * v).over(up).alias("s2"),
-        F.count("*").over(whole).alias("all_n"), F.sum(v).over(whole).alias("all_s"), F.sum(v * v).over(whole).alias("all_s2"),
-        F.lead(v).over(order).alias("next"),
+    # counted by value first, with partial sums before the shuffle
+    held = rows.filter(v.isNotNull()).select(F.col(node).alias("node"), v.alias("x")).groupBy("node", "x").agg(F.count("*").alias("k"))
+    order, whole = Window.partitionBy("node").orderBy("x"), Window.partitionBy("node")
+    up = order.rowsBetween(Window.unboundedPreceding, 0)
+    k, s, s2 = F.col("k"), F.col("k") * F.col("x"), F.col("k") * F.col("x") * F.col("x")
+    t = held.select(
+        "node", "x",
+        F.sum(k).over(up).alias("n"), F.sum(s).over(up).alias("s"), F.sum(s2).over(up).alias("s2"),
+        F.sum(k).over(whole).alias("all_n"), F.sum(s).over(whole).alias("all_s"), F.sum(s2).over(whole).alias("all_s2"),
+        F.lead("x").over(order).alias("next"),
     ).filter(F.col("next") > F.col("x"))
     left = F.col("s2") - F.col("s") * F.col("s") / F.col("n")
     rest = F.col("all_s") - F.col("s")
@@ -141,17 +144,33 @@ def tree_codes(x: np.ndarray, levels: list[dict]) -> np.ndarray:
 # ---------------------------------------------------------------- one-hot products (MIT14)
 
 
-def onehot_gram(codes: DataFrame, codes_col: str = "codes") -> DataFrame:
-    """X'X of one-hot codes: (c1, k1, c2, k2, n): how often two codes meet in a row. Pairs are made in the row and summed before the shuffle."""
-    coded = F.transform(codes_col, lambda k, c: F.struct(c.alias("c"), k.alias("k")))
-    pairs = F.flatten(F.transform(coded, lambda a: F.transform(coded, lambda b: F.struct(a["c"].alias("c1"), a["k"].alias("k1"), b["c"].alias("c2"), b["k"].alias("k2")))))
-    return codes.select(F.explode(pairs).alias("p")).groupBy("p.c1", "p.k1", "p.c2", "p.k2").agg(F.count("*").alias("n"))
+def _codebooks(coded: DataFrame, codes_col: str) -> int:
+    one = coded.filter(F.col(codes_col).isNotNull()).select(F.size(codes_col).alias("n")).first()
+    return 0 if one is None else one["n"]
 
 
-def onehot_xty(coded: DataFrame, codes_col: str, target: str) -> DataFrame:
-    """X'Y: (c, k, m, s): the sum of target m over the rows of each code."""
-    flat = coded.select(F.posexplode(codes_col).alias("c", "k"), target).select("c", "k", F.posexplode(target).alias("m", "y"))
-    return flat.groupBy("c", "k", "m").agg(F.sum(F.col("y").cast("double")).alias("s"))
+def onehot_gram(codes: DataFrame, codes_col: str = "codes", k: int = 16) -> DataFrame:
+    """X'X of one-hot codes: (c1, k1, c2, k2, n): how often two codes meet in a row. A product a batch, one partial sum a task."""
+    n = _codebooks(codes, codes_col)
+
+    def product(c: list[np.ndarray]) -> np.ndarray:
+        hot = gram_dense(c[0].astype(np.int64), k).astype(np.float32)  # counts of a batch are exact
+        return hot.T @ hot
+
+    got = partial_sums(codes.filter(F.col(codes_col).isNotNull()), [codes_col], product, (n * k, n * k)).filter("x > 0")
+    row, col = F.floor(F.col("at") / (n * k)), F.col("at") % max(1, n * k)
+    place = lambda x, i: [F.floor(x / k).cast("int").alias(f"c{i}"), (x % k).cast("int").alias(f"k{i}")]
+    return got.select(*place(row, 1), *place(col, 2), F.round("x").cast("long").alias("n"))
+
+
+def onehot_xty(coded: DataFrame, codes_col: str, target: str, k: int = 16) -> DataFrame:
+    """X'Y: (c, k, m, s): the sum of target m over the rows of each code that occurs."""
+    rows = coded.filter(F.col(codes_col).isNotNull() & F.col(target).isNotNull())
+    n, m = _codebooks(rows, codes_col), _codebooks(rows, target)
+    got = partial_sums(rows, [codes_col, target], lambda c: gram_dense(c[0].astype(np.int64), k).T @ np.hstack([c[1], np.ones((len(c[1]), 1))]), (n * k, m + 1))
+    cells = got.select(F.floor(F.col("at") / (m + 1)).alias("r"), (F.col("at") % (m + 1)).cast("int").alias("m"), "x")
+    there = F.broadcast(cells.filter((F.col("m") == m) & (F.col("x") > 0)).select("r"))  # a row a code of the model
+    return cells.filter(F.col("m") < m).join(there, "r").select(F.floor(F.col("r") / k).cast("int").alias("c"), (F.col("r") % k).cast("int").alias("k"), "m", F.col("x").alias("s"))
 
 
 def onehot_lookup_sum(codes: Column, weights: np.ndarray, n: int, k: int) -> Column:

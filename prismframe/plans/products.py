@@ -53,8 +53,8 @@ def bucket_stats(spark, sf):
 SELECT node, arg_min(value, (loss, value)) AS value, round(min(loss), 6) AS loss FROM c GROUP BY node""")
 def optimal_split(spark, sf):
     """MIT02: the best cut of quantities, supplier by supplier."""
-    t = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return tree.best_splits(t, "l_suppkey", "l_quantity", "id").withColumn("loss", F.round("loss", 6))
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_quantity")
+    return tree.best_splits(t, "l_suppkey", "l_quantity").withColumn("loss", F.round("loss", 6))
 
 
 @query(f"""WITH {CODES} SELECT a.c::INT AS c1, a.code::INT AS k1, b.c::INT AS c2, b.code::INT AS k2, count(*) AS n FROM codes a JOIN codes b USING (vec_id) GROUP BY ALL""")

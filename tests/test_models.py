@@ -232,7 +232,7 @@ def test_lut_quantisation():
 def test_best_split_by_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(g, float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 90).tolist(), rng.integers(0, 20, 90).tolist(), strict=True))] + [(9, 1.0, 100)]
-    got = {r.node: (r.value, r.loss) for r in tree.best_splits(spark.createDataFrame(rows, "g long, x double, i long"), "g", "x", "i").collect()}
+    got = {r.node: (r.value, r.loss) for r in tree.best_splits(spark.createDataFrame(rows, "g long, x double, i long"), "g", "x").collect()}
     assert 9 not in got
     for g in range(3):
         x = np.sort([v for n, v, _ in rows if n == g])
