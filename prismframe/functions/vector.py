@@ -213,6 +213,19 @@ def unpack_nibbles(packed: Column, n: int) -> Column:
     return F.array(*(f(packed[i]) for i in range(n // 2) for f in (lambda c: c.bitwiseAND(F.lit(15)), lambda c: F.shiftright(c, 4).bitwiseAND(F.lit(15)))))
 
 
+def pack_bits(values: Vector, nbits: int) -> Column:
+    """PRE13: the low ``nbits`` bits of every value, the lowest first, one after the other in bytes that are filled from their high bit."""
+    bits = F.array_join(F.transform(values, lambda x: F.reverse(F.lpad(F.bin(x.cast("long").bitwiseAND(F.lit((1 << nbits) - 1))), nbits, "0"))), "")
+    n = F.ceil(F.size(values) * nbits / 8).cast("int")
+    byte = lambda i: F.conv(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0"), 2, 10).cast("int")
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), byte))
+
+
+def non_zero(v: Vector) -> Column:
+    """FLT04: whether any component is not zero."""
+    return F.exists(v, lambda x: x != 0)
+
+
 def pack_long(codes: Column, n: int, bits: int = 4) -> Column:
     """Up to 64 / bits codes in one BIGINT."""
     out = F.lit(0).cast("long")

@@ -1,4 +1,4 @@
-"""Approximate products A @ B of a distributed A with a small B (AMM01-AMM29, MIT20, UDF02).
+"""Approximate products A @ B of a distributed A with a small B (AMM01-AMM18, AMM20-AMM29, MIT20, UDF02).
 
 Every method is fitted on a bounded sample of A and on B, then applied to A as one narrow projection: (id, product). Random
 matrices come from a seed, so any task makes the same ones.

@@ -1,4 +1,4 @@
-"""Compressed vectors: train, encode, look up, scan, and search on codes (VQ01-VQ21, SNK05)."""
+"""Compressed vectors: train, encode, look up, scan, and search on codes (VQ01-VQ19, VQ21, SNK05)."""
 
 from __future__ import annotations
 

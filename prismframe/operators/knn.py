@@ -121,6 +121,12 @@ def radius_join(base: DataFrame, queries: DataFrame, r2: float, id_col: str, que
     return out if out is not None else base.sparkSession.createDataFrame([], "query_id long, id long, dist double")
 
 
+def nearest_lists(dists: DataFrame, k: int) -> DataFrame:
+    """KNN06: (query_id, ids): the k nearest of rows (query_id, id, dist) as one list; what is behind the k-th never leaves its task."""
+    ranked = top_k(dists, "query_id", [F.col("dist"), F.col("id")], k)
+    return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+
+
 def norm_expansion(rows: DataFrame, a: str, b: str) -> Column:
     """DST04 as a column: the squared distance of two vector columns from their norms and product."""
     return V.dot(F.col(a), F.col(a)) + V.dot(F.col(b), F.col(b)) - V.dot(F.col(a), F.col(b)) * 2

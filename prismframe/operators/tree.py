@@ -1,4 +1,4 @@
-"""Hash trees: bucket statistics, best splits, learners, codes, and the tree product quantiser (MIT01-MIT20)."""
+"""Hash trees: bucket statistics, best splits, learners, codes, and the tree product quantiser (MIT01-MIT03, MIT05-MIT20, FLT06)."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def bucket_stats(coded: DataFrame, node: str, vector: str) -> DataFrame:
     return out.withColumn("loss", F.col("sum2") - F.col("sum") * F.col("sum") / F.col("n"))
 
 
+def below(rows: DataFrame, vector: str, dim: int, value: float) -> DataFrame:
+    """FLT06: the rows that a cut sends to its lower side."""
+    return rows.filter(F.col(vector)[dim] < value)
+
+
 def best_splits(rows: DataFrame, node: str, x: str) -> DataFrame:
     """MIT02: (node, value, loss): the cut of a node's values with the least squared error on both sides, half way between neighbours.
 

@@ -130,3 +130,14 @@ def convolve(df: DataFrame, id_col: str, image: str, height: int, width: int, ke
     """WIN06, WIN08: (id, at, patch, out): each patch and its products with the kernels."""
     rows = df.select(id_col, F.posexplode(patches(F.col(image), height, width, len(kernels[0]) // (size * size), (size, size), same=same)).alias("at", "patch"))
     return rows.withColumn("out", F.array(*(V.dot(F.col("patch"), V.literal(k)) for k in kernels)))
+
+
+def evenly_spaced_quantiles(df: DataFrame, by: str, x: str, n: int) -> DataFrame:
+    """PRE21: (by, quantiles): n cuts of each group's distinct values. n distinct values are the cuts themselves; of fewer than 2n, even steps
+    from the least to the largest; of a single one, steps from its negative to three times it."""
+    distinct = df.filter(F.col(x).isNotNull()).select(by, F.col(x).cast("double").alias("x")).distinct()
+    at = lambda shares: F.percentile("x", F.array(*map(F.lit, shares)))
+    got = distinct.groupBy(by).agg(F.count("*").alias("m"), F.min("x").alias("a"), F.max("x").alias("b"), at([i / (n + 1) for i in range(1, n + 1)]).alias("q"), at([i / max(1, n - 1) for i in range(n)]).alias("own"))
+    steps = lambda a, b: F.array(*(a + (b - a) * (i / max(1, n - 1)) for i in range(n)))
+    small = F.when(F.col("m") == n, F.col("own")).when(F.col("m") == 1, steps(-F.col("a"), F.col("a") * 3)).when(F.col("m") < 2 * n, steps(F.col("a"), F.col("b")))
+    return got.select(by, F.coalesce(small, F.col("q")).alias("quantiles"))

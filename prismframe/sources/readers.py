@@ -90,6 +90,11 @@ def read_series(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return rows.select(F.col("p")[0].cast("double").cast("int").alias("label"), F.transform(F.slice("p", 2, F.size("p") - 1), value).alias("series"))
 
 
+def read_series_stats(spark: SparkSession, path: str) -> DataFrame:
+    """SRC08: a CSV of series sets with a header, and the accuracy of the nearest neighbour from its error ``ED (w=0)``."""
+    return spark.read.csv(path, header=True, inferSchema=True).withColumn("l2-1nn-acc", 1 - F.col("`ED (w=0)`"))
+
+
 def fill_missing(df: DataFrame, vector: str, id_col: str) -> DataFrame:
     """SRC07: missing components take the median of their position, or of all values if the position has none."""
     flat = df.select(id_col, F.posexplode(vector).alias("pos", "x")).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
