@@ -76,26 +76,16 @@ def _cut(x: np.ndarray, at: int) -> tuple[float, float]:
     return float((s[i, at] + s[i + 1, at]) / 2), float(total[i])
 
 
-def learn_tree(x: np.ndarray, levels: int = 4, tries: int = 4, dims: range | None = None, quantized: bool = False, how: str = "loss") -> list[dict]:
-    """MIT03: level by level, the dimension whose own best cuts leave the least loss, among ``tries`` candidates.
+def learn_tree(x: np.ndarray, levels: int = 4, tries: int = 4, dims: range | None = None, quantized: bool = False) -> list[dict]:
+    """MIT03: level by level, the dimension whose own best cuts leave the least loss, among the ``tries`` of ``dims`` with the largest loss in all nodes.
 
-    ``how`` ranks candidates by loss in all nodes, by the leading eigenvector (eigen, bucket_eigen) or by kurtosis. ``dims`` limits them.
     With ``quantized`` a level's values become integers of 0 to 255 behind an offset and a power-of-two scale.
     """
     dims = dims or range(x.shape[1])
     codes, out = np.zeros(len(x), np.int64), []
     for level in range(levels):
         nodes = [x[codes == g] for g in range(2**level)]
-        if how == "eigen":
-            rank = np.abs(linalg.principal(np.cov(x.T, bias=True).reshape(x.shape[1], -1), 1)[:, 0])
-        elif how == "bucket_eigen":
-            rank = sum(np.abs(linalg.principal(np.cov(v.T, bias=True).reshape(x.shape[1], -1), 1)[:, 0]) for v in nodes if len(v) > 1)
-        elif how == "kurtosis":
-            z = x - x.mean(0)
-            rank = -((z**4).mean(0) / np.maximum(1e-20, (z**2).mean(0)) ** 2)
-        else:
-            rank = sum(v.var(0) * len(v) for v in nodes if len(v))
-        rank = np.asarray(rank)
+        rank = np.asarray(sum(v.var(0) * len(v) for v in nodes if len(v)))
         picked = sorted(dims, key=lambda j: (-rank[j], j))[:tries]
         cuts = {j: [_cut(v, j) for v in nodes] for j in picked}
         dim = min(picked, key=lambda j: (sum(loss for _, loss in cuts[j]), j))
@@ -246,21 +236,12 @@ class TreeModel:
     centroids: np.ndarray  # (codebooks, 16, D)
 
     @classmethod
-    def learn(cls, x: np.ndarray, n: int, spans: list[tuple[int, int]], work: float = -1, lam: float = 1.0, quantized: bool = False, how: str = "pq", seed: int = 0) -> TreeModel:
-        """``work``: -1 refits all coefficients, 1 none, more than 1 that many times D / n dimensions of a codebook.
-
-        ``how``: pq splits on the codebook's own span; pca and disjoint_pca on the dimensions of the residual's leading component, the
-        latter without those that an earlier codebook took.
-        """
+    def learn(cls, x: np.ndarray, n: int, spans: list[tuple[int, int]], work: float = -1, lam: float = 1.0, quantized: bool = False) -> TreeModel:
+        """``work``: -1 refits all coefficients, 1 none, more than 1 that many times D / n dimensions of a codebook. Splits are on the codebook's own span."""
         dim = x.shape[1]
-        left, trees, cents, used = x.copy(), [], np.zeros((n, 16, dim)), set()
+        left, trees, cents = x.copy(), [], np.zeros((n, 16, dim))
         for c, (a, b) in enumerate(spans):
             own = range(a, b)
-            if how != "pq":
-                lead = np.abs(linalg.principal(np.cov(left.T, bias=True).reshape(dim, dim), 1)[:, 0])
-                free = [j for j in range(dim) if how == "pca" or j not in used]
-                own = sorted(sorted(free, key=lambda j: (-lead[j], j))[: b - a])
-                used |= set(own)
             # splits are learned on the vectors themselves, as codes are made from those; the means are of what is left
             t = learn_tree(x, 4, 4, own, quantized)
             codes = tree_codes(x, t)
