@@ -71,7 +71,10 @@ class ScalarQuantize(Method):
 
 
 class Sketch(Method):
-    """AMM03: A and B reduced to d columns by one matrix; the product of the reductions."""
+    """AMM03: A and B reduced to d columns by one matrix; the product of the reductions.
+
+    The matrix depends on A by norms and products of its columns only, so it may be fitted on ``linalg.gram_factor`` of all rows in place of A.
+    """
 
     def __init__(self, d: int, seed: int = 0):
         self.d, self.seed = d, seed
@@ -354,22 +357,12 @@ REGISTRY: dict[str, Callable[[int], Method]] = {
 }
 
 
-def multiply(df: DataFrame, b: np.ndarray, method: str, d: int = 16, id_col: str = "vec_id", vector: str = "embedding", most: int = 4000) -> DataFrame:
-    """(id, product) by a registered method, fitted on a bounded sample."""
-    return REGISTRY[method](d).fit(sample(df, vector, most, id_col), b).apply(df, id_col, vector)
-
+def fitted(df: DataFrame, b: np.ndarray, method: str, d: int = 16, id_col: str = "vec_id", vector: str = "embedding", most: int = 4000) -> Method:
+    """A registered method: sketches by the column products of all rows, codes and trees by a bounded sample."""
+    made = REGISTRY[method](d)
+    return made.fit(linalg.gram_factor(df, vector) if isinstance(made, Sketch) else sample(df, vector, most, id_col), b)
 
-def metrics(products: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """MET01, DST09: one row over all cells of two products."""
-    both = products.select(id_col, F.posexplode("product").alias("m", "yh")).join(exact.select(id_col, F.posexplode("product").alias("m", "y")), [id_col, "m"])
-    mse, var = F.avg(F.pow(F.col("y") - F.col("yh"), F.lit(2.0))), F.var_pop("y")
-    return both.agg(
-        mse.alias("raw_mse"), (mse / var).alias("normalized_mse"), F.corr("y", "yh").alias("corr"),
-        (F.sum(F.col("y") * F.col("yh")) / F.sqrt(F.sum(F.col("y") * F.col("y")) * F.sum(F.col("yh") * F.col("yh")))).alias("cossim"),
-        F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("y_std"), F.avg("yh").alias("yhat_mean"), F.stddev_pop("yh").alias("yhat_std"),
-    )
 
-
-def multiply_coordinates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """AMM01 for two distributed matrices in coordinates (i, j, x) and (j, k, y): (i, k, z). Partial sums run before the last shuffle."""
-    return a.join(b, "j").groupBy("i", "k").agg(F.sum(F.col("x") * F.col("y")).alias("z"))
+def multiply(df: DataFrame, b: np.ndarray, method: str, d: int = 16, id_col: str = "vec_id", vector: str = "embedding", most: int = 4000) -> DataFrame:
+    """(id, product) by a registered method."""
+    return fitted(df, b, method, d, id_col, vector, most).apply(df, id_col, vector)

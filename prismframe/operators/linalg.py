@@ -25,6 +25,15 @@ def gram(df: DataFrame, vector: str, dim: int) -> tuple[np.ndarray, np.ndarray,
     return got[:dim, :dim], got[:dim, dim], int(round(got[dim, dim]))
 
 
+def gram_factor(df: DataFrame, vector: str) -> np.ndarray:
+    """A square matrix R with R'R = X'X over all rows: norms, products and principal directions of X's columns are those of R's."""
+    one = df.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+    if one is None:
+        return np.zeros((0, 0))
+    w, v = np.linalg.eigh(gram(df, vector, one["n"])[0])
+    return np.sqrt(np.maximum(0, w))[:, None] * v.T
+
+
 def covariance(df: DataFrame, vector: str, dim: int) -> np.ndarray:
     xx, sums, n = gram(df, vector, dim)
     return xx / n - np.outer(sums / n, sums / n)

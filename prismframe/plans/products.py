@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismframe.functions import vector as V
-from prismframe.operators import amm, prototypes, tree
+from prismframe.operators import amm, linalg, prototypes, tree
 from prismframe.operators.arrow import sample
 from prismframe.plans.base import CENTROIDS, CODEBOOKS, CODES, FLAT, asked, cells, embeddings, query
 from prismframe.plans.search import _given
@@ -183,6 +183,15 @@ def matmul_osnap(spark, sf):
     return _sketched(spark, sf, amm.Osnap)
 
 
+@query(f"""WITH {FLAT}, b AS (SELECT pos, m, {B} AS y FROM (SELECT DISTINCT pos FROM flat), range(8) t(m)),
+w AS (SELECT pos, sqrt(sum(x * x)) AS w FROM flat GROUP BY pos), r AS (SELECT pos, sqrt(sum(y * y)) AS r FROM b GROUP BY pos), top AS (SELECT pos FROM w JOIN r USING (pos) ORDER BY w * r DESC, pos LIMIT 16)
+SELECT vec_id, m::INT AS pos, round(sum(x * y), 6) AS x FROM flat JOIN top USING (pos) JOIN b USING (pos) GROUP BY vec_id, m""")
+def matmul_top_square(spark, sf):
+    """AMM09: the sixteen dimensions of the largest products of norms, over all rows; that many dimensions are the feature."""
+    e = embeddings(spark, sf)
+    return cells(amm.TopSquare(16).fit(linalg.gram_factor(e, "embedding"), given_matrix()).apply(e), "vec_id", "product")
+
+
 #: Offsets and a scale for the trees above, so that components become whole numbers of one byte.
 TREE_SCALE = 128.0
 
@@ -256,12 +265,13 @@ def amm_methods(spark, sf):
     """AMM01-AMM18, AMM20-AMM29, UDF02: every registered method on the embeddings with a random matrix: quality and cost, a row a method."""
     e = embeddings(spark, sf)
     b = np.random.default_rng(0).normal(size=(64, 20))
-    a = sample(e, "embedding", 2000, "vec_id")
+    a, factor = sample(e, "embedding", 2000, "vec_id"), linalg.gram_factor(e, "embedding")  # codes are learned on a sample, sketches on the products of all rows
     exact = amm.Exact().fit(a, b).apply(e)
     n = e.count()
     out = None
     for name, make in amm.REGISTRY.items():
-        method = make(16).fit(a, b)
+        method = make(16)
+        method.fit(factor if isinstance(method, amm.Sketch) else a, b)
         cost = method.cost(n)
         row = amm.metrics(method.apply(e), exact).withColumns({"method": F.lit(name), "muls": F.lit(cost["muls"]).cast("long"), "lookups": F.lit(cost["lookups"]).cast("long")})
         out = row if out is None else out.union(row)

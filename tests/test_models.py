@@ -128,6 +128,23 @@ def test_rotation_lowers_the_error():
     assert ((codebook.decode(codebook.encode(z, turned, spans), turned) - z) ** 2).mean() < plain
 
 
+def test_sketches_of_all_rows(spark):
+    """By the factor of all rows' products a sketch has the error that it has by the rows themselves."""
+    from prismframe.operators import amm, linalg
+
+    rng = np.random.default_rng(8)
+    x, b = rng.normal(size=(900, 24)) * np.linspace(3, 0.1, 24), rng.normal(size=(24, 20))
+    x[7] *= 50  # a row that a sample may leave out
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    factor = linalg.gram_factor(df, "embedding")
+    assert factor.shape == (24, 24) and np.allclose(factor.T @ factor, x.T @ x)
+    for make in (amm.TopSquare, amm.SquareSample, amm.Pca, amm.Svd, amm.Cooccurrence):
+        errors = [np.linalg.norm(make(8).fit(a, b).product(x) - x @ b) for a in (x, factor)]
+        assert abs(errors[0] - errors[1]) < 1e-6 * np.linalg.norm(x @ b)
+    assert np.linalg.norm(amm.FrequentDirections(8).fit(factor, b).product(x) - x @ b) < 0.3 * np.linalg.norm(x @ b)
+    assert isinstance(amm.fitted(df, b, "pca", 8), amm.Pca)
+
+
 def test_first_rotations():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12))
